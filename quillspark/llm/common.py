@@ -20,7 +20,7 @@ def let(value: Column, body) -> Column:
 
 def words_of(text: Column) -> Column:
     """The words ``[^\\x20\\x09-\\x0D]+`` of a text; null and empty texts have none."""
-    return F.filter(F.split(F.translate(F.coalesce(text, F.lit("")), "\t\n\x0b\x0c\r", "     "), " "), lambda w: w != "")
+    return F.filter(F.split(F.coalesce(text, F.lit("")), f"[{WS}]"), lambda w: w != "")
 
 
 def shared_dir(spark: SparkSession) -> str:

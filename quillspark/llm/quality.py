@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, words_of
+from .common import WS, let, words_of
 
 SYMBOLS = "#*$%&|<>"
 STOP_WORDS = (
@@ -44,13 +44,19 @@ def _repeat_words(words: Column) -> Column:
         F.transform(F.slice(words, 1, F.size(words) - 2), lambda w, i: F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2)))
     )
 
-    def covered(h: Column) -> Column:
+    def by_sort(h: Column) -> Column:
         order = F.sort_array(F.transform(h, lambda v, i: F.struct(v.alias("v"), i.alias("i"))))
-        at = let(order, lambda s: F.sort_array(F.transform(F.filter(
-            F.transform(s, lambda e, k: F.struct(e["i"].alias("i"), (
-                F.coalesce(e["v"] == F.get(s, k - 1)["v"], F.lit(False)) | F.coalesce(e["v"] == F.get(s, k + 1)["v"], F.lit(False))).alias("d"))),
-            lambda e: e["d"]), lambda e: e["i"])))
-        return let(at, lambda p: F.aggregate(
+        same = lambda e, o: F.coalesce(e["v"] == o["v"], F.lit(False))
+        return let(order, lambda s: F.sort_array(F.transform(
+            F.filter(s, lambda e, k: same(e, F.get(s, k - 1)) | same(e, F.get(s, k + 1))), lambda e: e["i"])))
+
+    def by_lookup(h: Column, repeated: Column) -> Column:
+        return F.filter(F.transform(h, lambda v, i: F.when(F.array_contains(repeated, v), i)), lambda i: i.isNotNull())
+
+    def covered(h: Column) -> Column:
+        repeated = let(F.sort_array(h), lambda s: F.array_distinct(F.filter(s, lambda v, k: v == F.get(s, k + 1))))
+        starts = let(repeated, lambda r: F.when(F.size(r) <= 16, by_lookup(h, r)).otherwise(by_sort(h)))
+        return let(starts, lambda p: F.aggregate(
             F.transform(p, lambda x, k: F.least(F.lit(3), F.coalesce(F.get(p, k + 1), x + 3) - x)), F.lit(0), lambda a, b: a + b))
 
     return let(windows, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(covered(h)))
@@ -61,11 +67,11 @@ def metrics(text: Column) -> Column:
     text = F.coalesce(text, F.lit(""))
 
     def counts(words: Column) -> Column:
-        lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, " \t\x0b\x0c\r", "")) > 0)
+        lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(f"[^{WS}]"))
         return F.struct(
             F.size(words).cast("long").alias("n_words"),
-            F.length(F.translate(text, " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
-            (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
+            F.length(F.array_join(words, "")).cast("long").alias("word_chars"),
+            F.when(text.rlike("[#*$%&|<>]"), F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).otherwise(0).cast("long").alias("n_symbols"),
             let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("dup"))).alias("lines"),
             _repeat_words(words).cast("long").alias("n_repeat_words"),
             F.size(F.filter(words, lambda w: F.lower(w).isin(STOP_WORDS))).cast("long").alias("n_stop"),
