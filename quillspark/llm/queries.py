@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality
+from . import bloom_lm, chunk_codec, packing, quality, token_store
+from .common import shared_dir
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,8 +17,37 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(_documents(spark, sf_dir))
 
 
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def _crc_mod(n: int):
+    return F.crc32(F.col("doc_id").cast("string")) % n
+
+
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = token_store.store_documents(_documents(spark, sf_dir), _tokenizer("word_bpe_49k.json"), shared_dir(spark), end_id=2)
+    return token_store.digest_documents(spark, files)
+
+
+def op4_chunk_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk_codec.digests(_documents(spark, sf_dir), _tokenizer("byte_bpe_50k.json"))
+
+
+def op7_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_documents(spark, sf_dir), _tokenizer("word_bpe_49k.json"), capacity=2048)
+
+
+def op9_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = F.coalesce(_crc_mod(10) == 0, F.lit(False))
+    return bloom_lm.score(_documents(spark, sf_dir), train=~held, held_out=held)
+
+
 def queries():
-    return {"op10_quality": op10_quality}
+    return {"op3_token_files": op3_token_files, "op4_chunk_bpe": op4_chunk_bpe, "op7_best_fit": op7_best_fit,
+            "op9_bloom_lm": op9_bloom_lm, "op10_quality": op10_quality}
 
 
 def oracle_sql():
