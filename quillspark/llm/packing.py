@@ -83,6 +83,13 @@ def _merge(pdf: pd.DataFrame, base: int, capacity: int, slack: int) -> pd.DataFr
     return pdf
 
 
+def _round(base: int, capacity: int, slack: int):
+    def run(key, pdf):
+        return _merge(pdf.drop(columns="task"), base | int(key[0]) << 32, capacity, slack)
+
+    return run
+
+
 def pack(items: DataFrame, capacity: int = 2048, slack: int = 2, per_task: int = 50_000, fan_in: int = 8) -> DataFrame:
     """items: PIECES, lengths 1 to capacity. Adds sequence_id and offset.
 
@@ -97,13 +104,8 @@ def pack(items: DataFrame, capacity: int = 2048, slack: int = 2, per_task: int =
     tasks = max(1, -(-bins // per_task))
     finished, level = [], 1
     while True:
-        base = level << 56
-
-        def run(key, pdf, base=base):
-            return _merge(pdf.drop(columns="task"), base | int(key[0]) << 32, capacity, slack)
-
         at = F.pmod(F.xxhash64("bin", F.lit(level)), F.lit(tasks)).cast("int")
-        out = saved(rest.withColumn("task", at).repartition(max(1, min(tasks, 4096)), "task").groupBy("task").applyInPandas(run, STATE))
+        out = saved(rest.withColumn("task", at).repartition(max(1, min(tasks, 4096)), "task").groupBy("task").applyInPandas(_round(level << 56, capacity, slack), STATE))
         left = out.filter(~F.col("done") & (F.col("offset") == 0)).count()
         if tasks == 1 or left > 0.99 * bins:
             finished.append(out)
