@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bloom_lm, chunk_codec, packing, quality, token_store
+from . import bloom_lm, chunk_codec, packing, quality, simhash, token_store, toxicity
 from .common import shared_dir
 
 
@@ -27,6 +27,14 @@ def _crc_mod(n: int):
     return F.crc32(F.col("doc_id").cast("string")) % n
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = toxicity.train(docs, labels, _crc_mod(4) != 2)
+    return toxicity.score(docs, model).select(
+        "doc_id", F.coalesce(_crc_mod(4) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"),
+        "n_sentences", F.size("offending").cast("long").alias("n_offending"), F.get(F.col("offending.start"), F.lit(0)).alias("first_offence"))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = token_store.store_documents(_documents(spark, sf_dir), _tokenizer("word_bpe_49k.json"), shared_dir(spark), end_id=2)
     return token_store.digest_documents(spark, files)
@@ -36,6 +44,11 @@ def op4_chunk_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_codec.digests(_documents(spark, sf_dir), _tokenizer("byte_bpe_50k.json"))
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_documents(spark, sf_dir), tau=4).select(
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op7_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_documents(spark, sf_dir), _tokenizer("word_bpe_49k.json"), capacity=2048)
 
@@ -46,7 +59,7 @@ def op9_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {"op3_token_files": op3_token_files, "op4_chunk_bpe": op4_chunk_bpe, "op7_best_fit": op7_best_fit,
+    return {"op1_toxicity": op1_toxicity, "op6_simhash": op6_simhash, "op3_token_files": op3_token_files, "op4_chunk_bpe": op4_chunk_bpe, "op7_best_fit": op7_best_fit,
             "op9_bloom_lm": op9_bloom_lm, "op10_quality": op10_quality}
 
 
