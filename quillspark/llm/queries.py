@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bloom_lm, chunk_codec, packing, quality, simhash, token_store, toxicity
+from . import bloom_lm, chunk_codec, line_dedup, packing, quality, secrets, simhash, spotsigs, token_store, toxicity
 from .common import shared_dir
 
 
@@ -35,6 +35,13 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         "n_sentences", F.size("offending").cast("long").alias("n_offending"), F.get(F.col("offending.start"), F.lit(0)).alias("first_offence"))
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trees = secrets.train(secrets.labelled_findings(spark))
+    return secrets.scan(_documents(spark, sf_dir), trees).select(
+        "doc_id", "n_candidates", F.size("secrets").cast("long").alias("n_secrets"),
+        F.transform("secrets", lambda s: F.sha2(s["value"], 256)).alias("secret_sha256"))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = token_store.store_documents(_documents(spark, sf_dir), _tokenizer("word_bpe_49k.json"), shared_dir(spark), end_id=2)
     return token_store.digest_documents(spark, files)
@@ -44,6 +51,11 @@ def op4_chunk_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_codec.digests(_documents(spark, sf_dir), _tokenizer("byte_bpe_50k.json"))
 
 
+def op5_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.remove(_documents(spark, sf_dir), removed_col="n_removed").select(
+        "doc_id", "n_removed", F.length("text").cast("long").alias("n_chars_left"), F.sha2("text", 256).alias("text_sha256"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_documents(spark, sf_dir), tau=4).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -53,14 +65,24 @@ def op7_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_documents(spark, sf_dir), _tokenizer("word_bpe_49k.json"), capacity=2048)
 
 
+def op8_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.compare_edited(_documents(spark, sf_dir))
+
+
 def op9_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = F.coalesce(_crc_mod(10) == 0, F.lit(False))
     return bloom_lm.score(_documents(spark, sf_dir), train=~held, held_out=held)
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries():
-    return {"op1_toxicity": op1_toxicity, "op6_simhash": op6_simhash, "op3_token_files": op3_token_files, "op4_chunk_bpe": op4_chunk_bpe, "op7_best_fit": op7_best_fit,
-            "op9_bloom_lm": op9_bloom_lm, "op10_quality": op10_quality}
+    own = (op1_toxicity, op2_secrets, op3_token_files, op4_chunk_bpe, op5_line_spread, op6_simhash, op7_best_fit, op8_spotsigs, op9_bloom_lm, op10_quality, pipeline)
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql():
