@@ -1,0 +1,147 @@
+import hashlib
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from quillspark.llm import bloom_lm, chunk_codec, line_dedup, packing, quality, secrets, simhash, spotsigs, token_store, toxicity
+
+P = pytest.importorskip("public_tokenizers")
+LONG = "the cat sat on a mat and looked at the dog again. " * 60
+TEXTS = [None, "", "one", LONG, LONG, LONG + " more", "  a  b\n\n c ", "x" * 5000, "Ünï cödé 日本 <|endoftext|> it's\tok", "a " * 300, "token = \"12f5388ee56fe6a3f6d537f97336225b8df1323b\" here"]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(i, t, None if i == 2 else f"s{i % 5}", i * 2, "x", None) for i, t in enumerate(TEXTS)] + [(3, LONG, "s3", 0, "y", 1)]
+    return spark.createDataFrame(rows, "doc_id long, text string, source string, n_words long, fp string, m long")
+
+
+@pytest.fixture(scope="module")
+def empty(docs):
+    return docs.filter("doc_id < 0")
+
+
+def tokenizer(name):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(str(P.path(name)))
+
+
+def test_quality(docs, empty):
+    rows = quality.quality(docs).collect()
+    assert len(rows) == len(TEXTS) + 1
+    for r in rows:
+        w = (TEXTS[r.doc_id] or "").split()
+        win = Counter(zip(w, w[1:], w[2:]))
+        cov = {j for i in range(len(w) - 2) if win[tuple(w[i : i + 3])] > 1 for j in (i, i + 1, i + 2)}
+        assert (r.n_words, r.word_chars, r.n_repeat_words) == (len(w), sum(map(len, w)), len(cov))
+    assert quality.quality(empty).count() == 0 and quality.keep_good(docs).columns == docs.columns
+
+
+def test_token_files(spark, docs, empty, tmp_path):
+    path, t = str(P.path("word_bpe_49k.json")), tokenizer("word_bpe_49k.json")
+    files = token_store.store_documents(docs, path, f"file://{tmp_path}/a", parts=3, block=64)
+    start = 0
+    for r in sorted(token_store.read_documents(spark, files).collect(), key=lambda r: r.start):
+        ids = t.encode(TEXTS[r.doc_id] or "", add_special_tokens=False).ids + [2]
+        assert (r.start, list(r.ids)) == (start, ids)
+        start += len(ids)
+    assert token_store.digest_documents(spark, token_store.store_documents(empty, path, f"file://{tmp_path}/b")).count() == 0
+    raw = bytearray(open(files[-1].file, "rb").read())
+    raw[-5] ^= 1
+    open(files[-1].file, "wb").write(raw)
+    with pytest.raises(ValueError):
+        token_store.read_file(files[-1].file)
+
+
+def test_chunk_codec(docs, empty):
+    path, t = str(P.path("byte_bpe_50k.json")), tokenizer("byte_bpe_50k.json")
+    for r in chunk_codec.digests(docs, path).collect():
+        ids = t.encode(TEXTS[r.doc_id] or "", add_special_tokens=False).ids
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+        assert r.decoded_sha256 == hashlib.sha256(t.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+    assert chunk_codec.encode_documents(empty, path).count() == 0
+
+
+def test_packing(docs, empty):
+    path = str(P.path("word_bpe_49k.json"))
+    rows = packing.pack_documents(docs, path, capacity=128, per_task=4).collect()
+    bins = defaultdict(list)
+    for r in rows:
+        bins[r.sequence_id].append((r.offset, r.length))
+    for b in bins.values():
+        end = 0
+        for o, n in sorted(b):
+            assert o == end
+            end += n
+        assert end <= 128
+    assert len({(r.doc_id, r.piece) for r in rows}) < len(rows)  # the repeated row is packed twice
+    assert packing.pack_documents(empty, path).count() == 0
+
+
+def test_simhash(docs, empty):
+    rows = simhash.near_duplicates(docs, tau=4).collect()
+    fp = {r.doc_id: r.fp & (2**64 - 1) for r in rows}
+    root = {i: i for i in fp}
+    for _ in fp:
+        for a in fp:
+            for b in fp:
+                if (fp[a] ^ fp[b]).bit_count() <= 4:
+                    root[a] = root[b] = min(root[a], root[b])
+    assert {r.doc_id: r.component_id for r in rows} == root and fp[0] == fp[1] == 0
+    assert simhash.near_duplicates(empty).count() == 0
+    assert sorted({r.doc_id for r in simhash.keep_one(docs).collect()}) == sorted(set(root.values()))
+
+
+def test_line_spread(spark, empty):
+    line = "this line of boilerplate is on every site of them"
+    rows = [(i, f"own text of document number {i}\n{line}\n", f"s{i}") for i in range(5)] + [(9, None, "s1"), (10, "", None), (11, "own text of document number 0\nshort", "s0")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: (r.text, r.cut) for r in line_dedup.remove(d, removed_col="cut").collect()}
+    assert got[0] == ("own text of document number 0\n", 1) and got[9] == (None, 0) and got[10] == ("", 0) and got[11][1] == 0
+    assert line_dedup.remove(empty).count() == 0
+
+
+def test_secrets(spark, docs, empty):
+    trees = secrets.train(secrets.labelled_findings(spark, 600))
+    got = {r.doc_id: r.secrets for r in secrets.scan(docs, trees).collect()}
+    assert [s.value for s in got[10]] == ["12f5388ee56fe6a3f6d537f97336225b8df1323b"] and not got[0] and not got[3]
+    assert "[SECRET]" in {r.doc_id: r.text for r in secrets.redact(docs, trees).collect()}[10]
+    assert secrets.scan(empty, trees).count() == 0
+
+
+def test_spotsigs(docs, empty):
+    rows = {r.doc_id: r for r in spotsigs.compare_edited(docs.dropDuplicates(["doc_id"])).collect()}
+    for i, t in enumerate(TEXTS):
+        t, nxt = t or "", TEXTS[(i + 1) % len(TEXTS)] or ""
+        k = len(t) // 2
+        assert rows[i].edited_sha256 == hashlib.sha256((t[: len(t) - k] + nxt[:k]).encode()).hexdigest()
+    assert rows[3].fingerprint == rows[4].fingerprint and rows[3].near_next == 1 and rows[0].near_next == 1
+    assert spotsigs.compare_edited(empty).count() == 0
+    members, pairs = spotsigs.near_duplicates(docs, 0.8)
+    assert members.count() == len(TEXTS) + 1 and {(r.a, r.b) for r in pairs.collect()} <= {(3, 5)}
+
+
+def test_bloom_lm(docs, empty):
+    rows = bloom_lm.score(docs, train=F.lit(True), held_out=F.lit(False)).collect()
+    toks = [(TEXTS[i] or "").lower().split() + [""] for i in [*range(len(TEXTS)), 3]]
+    c = Counter(w for t in toks for w in t)
+    n, v = sum(c.values()), len(c)
+    for r in rows:
+        t = (TEXTS[r.doc_id] or "").lower().split() + [""]
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(t), len(t), n)
+        assert r.base_score == pytest.approx(sum(np.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in t))
+    assert bloom_lm.score(empty, train=F.lit(True), held_out=F.lit(False)).count() == 0
+
+
+def test_toxicity(spark):
+    rows = [(i, f"calm words number {i} here. you are a stupid idiot now. more" if i % 3 == 0 else f"calm words number {i} here. you are a good friend now.", int(i % 3 == 0)) for i in range(90)]
+    d = spark.createDataFrame([(a, b) for a, b, _ in rows] + [(900, None), (901, "")], "doc_id long, text string")
+    labels = spark.createDataFrame([(a, c) for a, _, c in rows], "doc_id long, toxic int")
+    model = toxicity.train(d, labels, F.crc32(F.col("doc_id").cast("string")) % 4 != 2)
+    got = {r.doc_id: r for r in toxicity.score(d, model, offends=0.3).collect()}
+    assert all((got[a].score >= 0.3) == bool(c) for a, _, c in rows) and got[900].score == got[901].score == 0
+    assert "idiot" in rows[0][1][got[0].offending[0].start : got[0].offending[0].end]
