@@ -1,9 +1,224 @@
-"""The registered queries and their SQL."""
+"""The registered search queries and their SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.text import osa_udf, stem_udf, terms
+from ..operators import boolean, crawl, evaluate, index, ranking
+
+PHRASE, PREFIX, WORDS = ["of", "the"], "tio", ("the", "tion")
+ROBOTS = [("disallow", "/a"), ("allow", "/a*e"), ("disallow", "/*.html$"), ("disallow", "/t")]
+
+
+def _t(spark, d, name):
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _docs(spark, d):
+    return _t(spark, d, "documents").select("doc_id", "text", "source")
+
+
+def _queries(spark, d):
+    return _t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text"))
+
+
+def _edges(spark, d):
+    return _t(spark, d, "lineitem").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst"))
+
+
+def _vectors(spark, d):
+    return _t(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("v"))
+
+
+def _round(df, *cols, n=6):
+    return df.select([F.round(c, n).alias(c) if c in cols else F.col(c) for c in df.columns])
+
+
+def _bool(query):
+    return lambda s, d: boolean.run(query, index.term_rows(_docs(s, d)), _docs(s, d))
+
+
+def _one(s, text):
+    return s.createDataFrame([(1, text)], "query_id int, text string")
+
+
+def _bm25(s, d, text):
+    docs = _docs(s, d)
+    return ranking.bm25(index.counts(docs), index.lengths(docs), ranking.query_terms(_one(s, text) if isinstance(text, str) else text))
+
+
+def _bm25f(s, d):
+    docs = _docs(s, d)
+    return ranking.bm25f(index.field_counts(docs), index.field_lengths(docs), ranking.query_terms(_one(s, " ".join(WORDS))), docs.agg(F.count("*").cast("double").alias("n")))
+
+
+def _feedback(s, d):
+    docs = _docs(s, d)
+    return ranking.feedback(index.counts(docs), index.lengths(docs), ranking.query_terms(_one(s, "license rights reserved")), ["the", "and"])
+
+
+def _prf(s, d):
+    docs = _docs(s, d)
+    return ranking.bm25(index.counts(docs), index.lengths(docs), _feedback(s, d))
+
+
+def _qrels(s, d):
+    return _t(s, d, "labels").crossJoin(s.createDataFrame([(1,)], "query_id int")).select("query_id", "doc_id", F.col("quality").alias("grade"))
+
+
+def _ranked(s, d):
+    return ranking.top(_round(_bm25(s, d, "the of tion"), "score", n=9), 100)
+
+
+def _hosts(s, d):
+    return _t(s, d, "pages").select("page_id", crawl.url_parts(F.col("url")).alias("u")).select("page_id", "u.*")
+
+
+def _knn(s, d):
+    q = _vectors(s, d).filter("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), F.col("v").alias("q"))
+    return ranking.knn(_vectors(s, d), q, 5)
+
+
+def _rrf(s, d):
+    lex = ranking.top(_round(_bm25(s, d, " ".join(WORDS)), "score", n=9), 60)
+    sem = _knn(s, d).filter("query_id = 0").select(F.lit(1).alias("query_id"), "doc_id", "score", "rank")
+    return lex, sem
+
+
+def _ngrams(s, d):
+    sent = _docs(s, d).select(F.explode(F.split("text", "[.!?\n]")).alias("text")).select(terms(F.col("text")).alias("w"))
+    def grams(n):
+        return F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda i: F.array_join(F.slice("w", i, n), " "))
+
+    return sent.filter(F.size("w") >= 3).select(F.explode(F.concat(grams(2), grams(3))).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
+
+
+def _vocab(s, d):
+    return index.counts(_docs(s, d)).groupBy("term").agg(F.sum("tf").alias("tf"), F.count("*").alias("df"))
+
+
+def _spell(s, d):
+    typed = s.createDataFrame([(w,) for w in ("licnese", "rigths", "resreved", "verison", "tihs")], "word string")
+    v = _vocab(s, d).filter(F.length("term") >= 3).withColumn("n", F.octet_length("term"))
+    near = v.join(F.broadcast(typed), F.abs(F.col("n") - F.octet_length("word")) <= 2).withColumn("distance", osa_udf("word", "term")).filter("distance <= 2")
+    first = (F.substring("word", 1, 1) == F.substring("term", 1, 1)).cast("int")
+    best = F.min(F.struct("distance", (-first).alias("f"), (-F.col("tf")).alias("t"), "term")).alias("b")
+    return near.groupBy("word").agg(best).select("word", F.col("b.term").alias("suggestion"), F.col("b.distance").alias("distance"))
 
 
 def queries():
-    return {}
+    q = {
+        "doc_lengths": lambda s, d: index.lengths(_docs(s, d)),
+        "build_postings": lambda s, d: index.postings(_docs(s, d)).select("term", "doc_id", "tf", F.array_join(F.transform("positions", lambda p: p.cast("string")), ",").alias("positions")),
+        "field_stats": lambda s, d: _round(index.field_lengths(_docs(s, d)).groupBy("field").agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len")), "avg_len"),
+        "field_postings": lambda s, d: index.field_counts(_docs(s, d)),
+        "idf_table": lambda s, d: _round(_vocab(s, d).crossJoin(_docs(s, d).agg(F.count("*").alias("n"))).select("term", "df", ranking.idf(F.col("n"), F.col("df")).alias("idf")), "idf"),
+        "index_stats": lambda s, d: _vocab(s, d).agg(F.count("*").alias("vocabulary"), F.sum("tf").alias("total_terms"), F.sum("df").alias("n_postings")),
+        "trie_from_index": _vocab,
+        "postings_deltas": lambda s, d: index.deltas(index.counts(_docs(s, d))),
+        "analyze_stems": lambda s, d: _vocab(s, d).select(stem_udf("term").alias("stem"), "tf").groupBy("stem").agg(F.sum("tf").alias("tf")),
+        "search_term": _bool("license"), "bool_and": _bool("the AND tion"), "bool_or": _bool("license OR reserved"), "bool_and_not": _bool("the AND NOT tion"),
+        "bool_pure_not": _bool("NOT the"), "bool_query_nested": _bool("(license OR reserved) AND NOT tion"), "prefix_search": _bool(PREFIX + "*"), "phrase_search": _bool('"of the"'),
+        "bm25_topk": lambda s, d: _round(ranking.top(_round(_bm25(s, d, " ".join(WORDS)), "score", n=9), 10), "score"),
+        "bm25_batch": lambda s, d: _round(ranking.top(_round(_bm25(s, d, _queries(s, d)), "score", n=7), 3), "score", n=5),
+        "bm25f_topk": lambda s, d: _round(ranking.top(_round(_bm25f(s, d), "score", n=9), 10), "score"),
+        "prf_expansion_terms": lambda s, d: _round(_feedback(s, d), "w"),
+        "bm25_prf": lambda s, d: _round(ranking.top(_round(_prf(s, d), "score", n=7), 10), "score", n=5),
+        "graph_degrees": lambda s, d: _edges(s, d).filter("src <> dst").distinct().groupBy("src").agg(F.count("*").alias("out_degree")),
+        "graph_stats": lambda s, d: _edges(s, d).filter("src <> dst").distinct().agg(F.count("*").alias("n_edges"), F.countDistinct("src").alias("n_src"), F.countDistinct("dst").alias("n_dst")),
+        "pagerank_k_iter": lambda s, d: _round(ranking.pagerank(_edges(s, d), 3), "pagerank", n=9),
+        "vec_norm": lambda s, d: _round(_vectors(s, d).select("doc_id", F.sqrt(ranking.dot("v", "v")).alias("norm")), "norm"),
+        "knn_batch": lambda s, d: _round(_knn(s, d), "score"),
+        "hybrid_rrf": lambda s, d: _round(ranking.fuse_rrf(*_rrf(s, d)), "score"),
+        "hybrid_linear": lambda s, d: _round(ranking.fuse_linear(*_rrf(s, d)), "score"),
+        "ngram_counts": _ngrams,
+        "suggest_topk": lambda s, d: _vocab(s, d).filter(F.col("term").startswith("th")).orderBy(F.desc("tf"), F.desc("df"), "term").limit(8),
+        "prefix_terms": lambda s, d: _vocab(s, d).filter(F.col("term").startswith(PREFIX)).select("term"),
+        "spell_suggest": _spell,
+        "url_parts": _hosts,
+        "normalize_urls": lambda s, d: _t(s, d, "pages").select("page_id", crawl.normalize_url(F.col("url")).alias("url")),
+        "host_counts": lambda s, d: _hosts(s, d).groupBy("host").agg(F.count("*").alias("n")),
+        "page_titles": lambda s, d: _t(s, d, "pages").select("page_id", crawl.title(F.col("html")).alias("title")),
+        "page_text_len": lambda s, d: _t(s, d, "pages").select("page_id", F.length(crawl.visible_text(F.col("html"))).alias("n")),
+        "resolved_links": lambda s, d: _t(s, d, "pages").select("page_id", "url", F.explode(crawl.links(F.col("html"))).alias("href")).select("page_id", crawl.resolve(F.col("url"), F.col("href")).alias("target")),
+        "robots_allowed": lambda s, d: crawl.robots_allowed(_hosts(s, d).select("page_id", "path"), ROBOTS),
+        "frontier_schedule": lambda s, d: crawl.schedule(_hosts(s, d).select("host", F.col("page_id").alias("seq"))).select("wave", "host", "seq"),
+        "eval_metrics": lambda s, d: _round(evaluate.per_query(_ranked(s, d), _qrels(s, d), 10), "p", "r", "rr", "ap", "ndcg"),
+    }
+    return q
+
+
+_RE = "(?:https?|ftp)://[^\\s\\p{Z}<>\"'')\\]}]*|\\p{L}(?:[''’]\\p{L}|[\\p{L}\\p{N}])*|[0-9](?:[.,]?[0-9])*"
+
+
+def _terms(text):
+    return f"list_transform(regexp_extract_all({text}, '{_RE}'), lambda t: CASE WHEN regexp_matches(t, '^(?:https?|ftp)://') THEN regexp_replace(t, '[.,?!]+$', '') ELSE lower(t) END)"
+
+
+_ROWS = f"rows AS (SELECT doc_id, unnest(range(len(ts))) AS pos, unnest(ts) AS term FROM (SELECT doc_id, {_terms('text')} AS ts FROM documents))"
+_TF = f"{_ROWS}, tf AS (SELECT term, doc_id, count(*) AS tf FROM rows GROUP BY 1, 2), lens AS (SELECT doc_id, len({_terms('text')}) AS len FROM documents)"
+_VOC = f"{_TF}, voc AS (SELECT term, sum(tf)::BIGINT AS tf, count(*) AS df FROM tf GROUP BY 1)"
+_N = "(SELECT count(*) FROM documents)"
+
+
+def _idf(df, n=_N):
+    return f"ln(({n} - {df} + 0.5) / ({df} + 0.5) + 1)"
+
+
+def _bm25_sql(wanted):
+    return (f"{_VOC}, wanted AS ({wanted}), st AS (SELECT avg(len) AS av FROM lens), sc AS (SELECT w.query_id, tf.doc_id, "
+            f"sum(w.w * {_idf('voc.df')} * tf.tf * 2.2 / (tf.tf + 1.2 * (0.25 + 0.75 * lens.len / st.av))) AS score "
+            "FROM tf JOIN wanted w USING (term) JOIN voc USING (term) JOIN lens USING (doc_id) CROSS JOIN st GROUP BY 1, 2)")
+
+
+def _top_sql(k, n=9, out=6, src="sc"):
+    return (f"SELECT query_id, doc_id, round(score, {out}) AS score, rank::INT AS rank FROM (SELECT query_id, doc_id, round(score, {n}) AS score, "
+            f"row_number() OVER (PARTITION BY query_id ORDER BY round(score, {n}) DESC, doc_id) AS rank FROM {src}) WHERE rank <= {k}")
+
+
+def _list(words):
+    return " UNION ALL ".join(f"SELECT 1 AS query_id, '{w}' AS term, 1.0 AS w" for w in words)
+
+
+def _has(cond):
+    return f"doc_id IN (SELECT doc_id FROM rows WHERE {cond})"
 
 
 def oracle_sql():
-    return {}
+    pick = lambda cond: f"WITH {_ROWS} SELECT doc_id FROM documents WHERE {cond}"
+    edges = "e AS (SELECT DISTINCT l_partkey AS src, l_suppkey AS dst FROM lineitem WHERE l_partkey <> l_suppkey)"
+    nodes = f"{edges}, nodes AS (SELECT src AS node FROM e UNION SELECT dst FROM e), deg AS (SELECT src, count(*) AS deg FROM e GROUP BY 1), c AS (SELECT count(*)::DOUBLE AS n FROM nodes), r0 AS (SELECT node, 1.0 / n AS pr FROM nodes, c)"
+    for k in (1, 2, 3):
+        nodes += (f", r{k} AS (SELECT nodes.node, 0.15 / n + 0.85 * (coalesce(g.s, 0) + (SELECT coalesce(sum(pr), 0) FROM r{k - 1} WHERE node NOT IN (SELECT src FROM deg)) / n) AS pr "
+                  f"FROM nodes CROSS JOIN c LEFT JOIN (SELECT e.dst, sum(p.pr / deg.deg) AS s FROM e JOIN deg USING (src) JOIN r{k - 1} p ON p.node = e.src GROUP BY 1) g ON g.dst = nodes.node)")
+    dot = lambda a, b: f"list_sum(list_transform(list_zip({a}, {b}), lambda x: x[1]::DOUBLE * x[2]::DOUBLE))"
+    knn = (f"kn AS (SELECT q.vec_id AS query_id, v.vec_id AS doc_id, greatest(-1.0, least(1.0, {dot('v.embedding', 'q.embedding')} / (sqrt({dot('v.embedding', 'v.embedding')}) * sqrt({dot('q.embedding', 'q.embedding')})))) AS score "
+           "FROM embeddings v CROSS JOIN embeddings q WHERE q.vec_id % 100 = 0), kt AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM kn)")
+    lex = f"lex AS ({_top_sql(60, out=9)}), sem AS (SELECT 1 AS query_id, doc_id, score, rank FROM kt WHERE query_id = 0 AND rank <= 5)"
+    gram = ("SELECT list_transform(range(1, len(w) - {m} + 1), lambda i: array_to_string(list_slice(w, i, i + {k}), ' ')) AS g FROM sent")
+    return {
+        "doc_lengths": f"SELECT doc_id, len({_terms('text')}) AS len FROM documents",
+        "build_postings": f"WITH {_ROWS} SELECT term, doc_id, count(*) AS tf, string_agg(pos::VARCHAR, ',' ORDER BY pos) AS positions FROM rows GROUP BY 1, 2",
+        "idf_table": f"WITH {_VOC} SELECT term, df, round({_idf('df')}, 6) AS idf FROM voc",
+        "index_stats": f"WITH {_VOC} SELECT count(*) AS vocabulary, sum(tf)::BIGINT AS total_terms, sum(df)::BIGINT AS n_postings FROM voc",
+        "trie_from_index": f"WITH {_VOC} SELECT term, tf, df FROM voc",
+        "postings_deltas": f"WITH {_TF} SELECT term, doc_id, doc_id - coalesce(lag(doc_id) OVER (PARTITION BY term ORDER BY doc_id), 0) AS gap FROM tf",
+        "search_term": pick(_has("term = 'license'")), "bool_and": pick(_has("term = 'the'") + " AND " + _has("term = 'tion'")),
+        "bool_or": pick(_has("term IN ('license', 'reserved')")), "bool_and_not": pick(_has("term = 'the'") + " AND NOT " + _has("term = 'tion'")),
+        "bool_pure_not": pick("NOT " + _has("term = 'the'")), "bool_query_nested": pick(_has("term IN ('license', 'reserved')") + " AND NOT " + _has("term = 'tion'")),
+        "prefix_search": pick(_has(f"term LIKE '{PREFIX}%'")),
+        "phrase_search": f"WITH {_ROWS} SELECT DISTINCT a.doc_id FROM rows a JOIN rows b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1 WHERE a.term = 'of' AND b.term = 'the'",
+        "bm25_topk": f"WITH {_bm25_sql(_list(WORDS))} {_top_sql(10)}",
+        "bm25_batch": f"WITH {_bm25_sql('SELECT DISTINCT item_id AS query_id, unnest(' + _terms('text') + ') AS term, 1.0 AS w FROM benchmark')} {_top_sql(3, 7, 5)}",
+        "graph_degrees": f"WITH {edges} SELECT src, count(*) AS out_degree FROM e GROUP BY 1",
+        "graph_stats": f"WITH {edges} SELECT count(*) AS n_edges, count(DISTINCT src) AS n_src, count(DISTINCT dst) AS n_dst FROM e",
+        "pagerank_k_iter": f"WITH {nodes} SELECT node, round(pr, 9) AS pagerank FROM r3",
+        "vec_norm": f"SELECT vec_id AS doc_id, round(sqrt({dot('embedding', 'embedding')}), 6) AS norm FROM embeddings",
+        "knn_batch": f"WITH {knn} SELECT query_id, doc_id, round(score, 6) AS score, rank::INT AS rank FROM kt WHERE rank <= 5",
+        "hybrid_rrf": f"WITH {_bm25_sql(_list(WORDS))}, {knn}, {lex} SELECT coalesce(lex.query_id, sem.query_id) AS query_id, coalesce(lex.doc_id, sem.doc_id) AS doc_id, round(coalesce(0.55 / (60 + lex.rank), 0) + coalesce(0.45 / (60 + sem.rank), 0), 6) AS score FROM lex FULL JOIN sem ON lex.doc_id = sem.doc_id",
+        "ngram_counts": f"WITH sent AS (SELECT {_terms('t')} AS w FROM (SELECT unnest(regexp_split_to_array(text, '[.!?\n]')) AS t FROM documents)), g AS ({gram.format(m=1, k=1)} WHERE len(w) >= 3 UNION ALL {gram.format(m=2, k=2)} WHERE len(w) >= 3) SELECT gram, count(*) AS n FROM (SELECT unnest(g) AS gram FROM g) GROUP BY 1",
+        "suggest_topk": f"WITH {_VOC} SELECT term, tf, df FROM voc WHERE term LIKE 'th%' ORDER BY tf DESC, df DESC, term LIMIT 8",
+        "prefix_terms": f"WITH {_VOC} SELECT term FROM voc WHERE term LIKE '{PREFIX}%'",
+        "host_counts": "SELECT lower(regexp_extract(url, '^https?://([^/:?]*)', 1)) AS host, count(*) AS n FROM pages GROUP BY 1",
+    }
