@@ -145,3 +145,16 @@ def test_toxicity(spark):
     got = {r.doc_id: r for r in toxicity.score(d, model, offends=0.3).collect()}
     assert all((got[a].score >= 0.3) == bool(c) for a, _, c in rows) and got[900].score == got[901].score == 0
     assert "idiot" in rows[0][1][got[0].offending[0].start : got[0].offending[0].end]
+
+
+def test_line_spread_copied_text(spark):
+    own = ["\n".join(" ".join(f"w{d}x{k}x{i}" for i in range(30)) for k in range(4)) for d in range(6)]
+    line = "this line of boilerplate is on every site of them"
+    near = own[1].replace("w1x3x29", "changed")
+    rows = [(i, own[0], f"s{i}") for i in range(5)] + [(10 + i, [own[1], near][i % 2], f"s{i}") for i in range(6)]
+    rows += [(20 + i, f"{own[2 + i]}\n{line}", f"s{i}") for i in range(4)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: r.text for r in line_dedup.remove(d).collect()}
+    assert got == {i: t.replace("\n" + line, "") for i, t, _ in rows}
+    from quillspark.llm import near_texts
+    assert [r.text for r in near_texts.keep_one(line_dedup.remove(d)).orderBy("doc_id").collect()] == own
