@@ -158,3 +158,13 @@ def test_line_spread_copied_text(spark):
     assert got == {i: t.replace("\n" + line, "") for i, t, _ in rows}
     from quillspark.llm import near_texts
     assert [r.text for r in near_texts.keep_one(line_dedup.remove(d)).orderBy("doc_id").collect()] == own
+
+
+def test_pipeline_near_copies(spark):
+    import corpus_pipeline
+
+    words = [f"word{i}" for i in range(60)]
+    rows = [(0, " ".join(words))] + [(k, " ".join([*words[: 7 * k], "changed", *words[7 * k + 1 :]])) for k in range(1, 7)]  # 51 of 61 shingles shared
+    rows += [(10, " ".join(words[:30] + [f"other{i}" for i in range(30)])), (11, ""), (12, "")]
+    got = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert sorted(r.doc_id for r in got.collect()) == [0, 10, 11]
