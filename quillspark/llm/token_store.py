@@ -1,302 +1,371 @@
 """Token-id files: blocks of ids under an adaptive context-mixing range coder, each reset and checksummed by itself.
 
-A block's model mixes three guesses with a base. The guesses are the ids last seen to follow the two ids before
-(order 2), the one before (order 1) and no context (order 0), each with a confidence; the base is the file's own
-distribution of ids, from its header. The weights of the mixture are learnt within the block, by the confidences of
-the guesses. An id takes one step of a range coder with 64-bit state and 32-bit output. Blocks don't depend on one
-another, so NumPy codes all blocks of a file side by side, one id of each at a time.
+Each id is predicted three times: by a distribution over all ids that counts what the block had so far (order 0), and by the id that came
+last after the id before (order 1) and after the two ids before (order 2), each with a confidence that grows when it is right. A mixer
+adds the three predictions; its weights are learnt on the way, one set for each pair of confidences. The mixed distribution drives a
+64-bit range coder. All of that starts afresh in each block, so a block needs nothing but itself, and a damaged one costs no other.
 
-File: MAGIC, header length, JSON header (blocks, documents), order-0 table, document table, block table, block data.
+The coder is one Java class (``CODER``) that Spark's own compiler builds: built-in functions can't express a loop with state, and in
+Python it would take microseconds an id. Files are read and written through Hadoop's file systems, so any shared folder will do.
+
+File: MAGIC, u32 header length, JSON header, document table (zlib: doc_ids i64, known u8, lengths u32), u32 crc32 of all that, then
+blocks, each u32 ids, u32 bytes, u32 crc32 of the coded bytes, coded bytes. Numbers are little-endian.
 """
 
 from __future__ import annotations
 
 import json
-import os
 import struct
 import zlib
 
 import numpy as np
-
-MAGIC = b"QSTK0001"
-BLOCK = 4096  # ids a block
-SCALE = 18  # log2 of the sum of the order-0 table
-MIX = 10  # log2 of the sum of the mixture's weights
-TOTAL = SCALE + MIX
-LANES = 768  # blocks coded side by side
-SLOTS = 11  # log2 of the slots of a context table
-_U = np.uint64
-_HALF, _LOW = _U(32), _U(0xFFFFFFFF)
-
-
-def order0(ids: np.ndarray, vocab: int) -> np.ndarray:
-    """Frequencies that sum to 2**SCALE; ids of the file have at least 1, others 0."""
-    count = np.bincount(ids, minlength=vocab).astype(np.int64)
-    some = count > 0
-    if not some.any():
-        return np.r_[np.full(1, 1 << SCALE), np.zeros(vocab - 1, np.int64)]
-    room = (1 << SCALE) - int(some.sum())
-    f = np.where(some, 1 + count * room // count.sum(), 0)
-    f[f.argmax()] += (1 << SCALE) - f.sum()
-    return f
-
-
-class _Model:
-    """The state of ``n`` blocks' models; the blocks at the front are the ones still going. All in 32 bits but the places."""
-
-    def __init__(self, n: int, freq: np.ndarray):
-        self.none = len(freq)
-        self.f0 = np.r_[freq, 0].astype(np.int32)
-        self.c0 = np.r_[0, np.cumsum(freq)].astype(np.int32)
-        self.of = np.repeat(np.arange(len(freq), dtype=np.int32), freq)
-        empty = np.int32(self.none << 2)
-        self.t2, self.t1, self.t0 = np.full(n << SLOTS, empty), np.full(n << SLOTS, empty), np.full(n, empty)
-        self.hits = np.ones((n << 6, 4), np.float32) * np.array([2, 2, 1, 4], np.float32)
-        lane = np.arange(n, dtype=np.int64)
-        self.table, self.mixer = lane << SLOTS, lane << 6
-        self.a, self.b = np.zeros(n, np.uint32), np.zeros(n, np.uint32)
-
-    def guess(self, n: int):
-        """Guessed ids and the mixture's weights for the next id of the first n blocks."""
-        down = np.uint32(32 - SLOTS)
-        h = self.a[:n] * np.uint32(0x9E3779B1)
-        self.i1 = self.table[:n] + (h >> down)
-        self.i2 = self.table[:n] + ((h + self.b[:n]) * np.uint32(0x85EBCA6B) >> down)
-        self.e = e2, e1, e0 = self.t2.take(self.i2), self.t1.take(self.i1), self.t0[:n]
-        self.p = e2 >> 2, e1 >> 2, e0 >> 2
-        self.k = self.mixer[:n] + (((e2 & 3) << 4) | ((e1 & 3) << 2) | (e0 & 3))
-        row = self.hits.take(self.k, 0)
-        r2, r1, r0 = row[:, 0], row[:, 1], row[:, 2]
-        unit = np.float32((1 << MIX) - 8) / (r2 + r1 + r0 + row[:, 3])
-        self.w = w2, w1, w0 = (r2 * unit).astype(np.int32) + 1, (r1 * unit).astype(np.int32) + 1, (r0 * unit).astype(np.int32) + 1
-        self.base = (1 << MIX) - w2 - w1 - w0
-
-    def interval(self, x: np.ndarray):
-        """Start and length of x's share of 2**TOTAL."""
-        (p2, p1, p0), (w2, w1, w0) = self.p, self.w
-        start = self.base * self.c0.take(x) + ((w2 * (p2 < x) + w1 * (p1 < x) + w0 * (p0 < x)) << SCALE)
-        return start, self.base * self.f0.take(x) + ((w2 * (p2 == x) + w1 * (p1 == x) + w0 * (p0 == x)) << SCALE)
-
-    def find(self, v: np.ndarray) -> np.ndarray:
-        """The id whose share holds v."""
-        hit, less = np.full(len(v), -1, np.int32), np.zeros(len(v), np.int32)
-        for p, w in zip(self.p, self.w):
-            start, size = self.interval(p)
-            past = v >= start + size
-            less += w * past
-            np.copyto(hit, p, where=(v >= start) & ~past)
-        on = np.flatnonzero(hit < 0)
-        hit[on] = self.of.take((v[on] - (less[on] << SCALE)) // self.base[on])
-        return hit
-
-    def learn(self, x: np.ndarray) -> None:
-        n = len(x)
-        p2, p1, p0 = self.p
-        h2, h1, h0 = p2 == x, p1 == x, p0 == x
-        won = np.where(h2, 0, np.where(h1, 1, np.where(h0, 2, 3)))
-        self.hits[self.k, won] += 2
-        fresh = (x << 2) | 1
-        for t, i, e, h in ((self.t2, self.i2, self.e[0], h2), (self.t1, self.i1, self.e[1], h1), (self.t0, slice(0, n), self.e[2], h0)):
-            t[i] = np.where(h, e + ((e & 3) < 3), np.where((e & 3) > 1, e - 1, fresh))
-        self.b[:n], self.a[:n] = self.a[:n], x
-
-
-def encode_blocks(ids: np.ndarray, freq: np.ndarray, block: int = BLOCK) -> list[bytes]:
-    """The coded blocks; LANES of them at a time, whose tables fit the caches."""
-    return [b for i in range(0, len(ids), block * LANES) for b in _encode(ids[i : i + block * LANES], freq, block)]
-
-
-def decode_blocks(data: list[bytes], count: int, freq: np.ndarray, block: int = BLOCK) -> np.ndarray:
-    parts = [_decode(data[i : i + LANES], min(block * LANES, count - i * block), freq, block) for i in range(0, len(data), LANES)]
-    return np.concatenate([*parts, np.empty(0, np.int32)])
-
-
-def _encode(ids: np.ndarray, freq: np.ndarray, block: int) -> list[bytes]:
-    n = -(-len(ids) // block)
-    if not n:
-        return []
-    short = len(ids) - (n - 1) * block
-    x = np.zeros(n * block, np.int32)
-    x[: len(ids)] = ids
-    x = np.ascontiguousarray(x.reshape(n, block).T)
-    m = _Model(n, freq)
-    low, rng = np.zeros(n, _U), np.full(n, _U(2**64 - 1))
-    out, pos = np.zeros((n, block + 2), np.uint32), np.zeros(n, np.int64)
-    for t in range(block if n > 1 else short):
-        on = n if t < short else n - 1
-        m.guess(on)
-        sym = x[t, :on]
-        start, size = m.interval(sym)
-        r = rng[:on] >> _U(TOTAL)
-        low[:on] += r * start.astype(_U)
-        rng[:on] = r * size.astype(_U)
-        i = np.flatnonzero(rng[:on] < _U(1 << 32))
-        if len(i):
-            lo, rg = low[i], rng[i]
-            rng[i] = np.where((lo ^ (lo + rg - _U(1))) >> _HALF != 0, _U(1 << 32) - (lo & _LOW), rg) << _HALF
-            out[i, pos[i]] = (lo >> _HALF).astype(np.uint32)
-            pos[i] += 1
-            low[i] = lo << _HALF
-        m.learn(sym)
-    last = (low + (rng - _U(1))) >> _HALF
-    out[np.arange(n), pos] = last.astype(np.uint32)
-    return [out[i, : pos[i] + 1].tobytes() for i in range(n)]
-
-
-def _decode(data: list[bytes], count: int, freq: np.ndarray, block: int) -> np.ndarray:
-    n = len(data)
-    if not n:
-        return np.empty(0, np.int64)
-    short = count - (n - 1) * block
-    words = np.zeros((n, max(map(len, data)) // 4 + 3), np.uint32)
-    for i, d in enumerate(data):
-        words[i, : len(d) // 4] = np.frombuffer(d, "<u4")
-    x = np.zeros((block, n), np.int32)
-    m = _Model(n, freq)
-    low, rng = np.zeros(n, _U), np.full(n, _U(2**64 - 1))
-    code, pos = (words[:, 0].astype(_U) << _HALF) | words[:, 1], np.full(n, 2)
-    for t in range(block if n > 1 else short):
-        on = n if t < short else n - 1
-        m.guess(on)
-        r = rng[:on] >> _U(TOTAL)
-        v = np.minimum((code[:on] - low[:on]) // r, _U((1 << TOTAL) - 1)).astype(np.int32)
-        sym = m.find(v)
-        x[t, :on] = sym
-        start, size = m.interval(sym)
-        low[:on] += r * start.astype(_U)
-        rng[:on] = r * size.astype(_U)
-        i = np.flatnonzero(rng[:on] < _U(1 << 32))
-        if len(i):
-            lo, rg = low[i], rng[i]
-            rng[i] = np.where((lo ^ (lo + rg - _U(1))) >> _HALF != 0, _U(1 << 32) - (lo & _LOW), rg) << _HALF
-            low[i] = lo << _HALF
-            code[i] = (code[i] << _HALF) | words[i, np.minimum(pos[i], words.shape[1] - 1)]
-            pos[i] += 1
-        m.learn(sym)
-    return x.T.reshape(-1)[:count]
-
-
-def write_file(path: str, doc_ids: list, docs: list[np.ndarray], vocab: int, block: int = BLOCK) -> dict:
-    """One file of documents in the given order; a doc_id may be null. Renamed into place when whole, so that a task may be run again."""
-    ids = np.concatenate([*docs, np.empty(0, np.int32)]).astype(np.int32)
-    freq = order0(ids, vocab)
-    blocks = encode_blocks(ids, freq, block)
-    table = zlib.compress(freq.astype("<u4").tobytes())
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import jvm
+from .common import width
+
+MAGIC = b"QSTK0002"
+BLOCK = 1 << 16  # ids a block
+FILE_IDS = 1 << 22  # a file is closed once it has so many ids; bounds what a task holds
+ORDER = 16  # log2 of the slots of the order-1 and order-2 tables
+
+CODER = """
+import java.io.BufferedOutputStream;
+import java.io.DataOutputStream;
+import java.io.IOException;
+import java.util.*;
+import java.util.zip.*;
+import java.nio.*;
+import org.apache.hadoop.fs.FSDataInputStream;
+import org.apache.hadoop.fs.FileSystem;
+import org.apache.hadoop.fs.Path;
+import org.apache.spark.sql.RowFactory;
+
+class QuillCoder {
+  static final int STEP = 24, PARTS = 4096, LEAST = 64;
+
+  /** The state of one block: the sums of order 0 as a tree of 16 branches, the guesses of orders 1 and 2, the weights. */
+  static final class Model {
+    final int groups;
+    final int[] tree, start, t1 = new int[1 << %(order)d], t2 = new int[1 << %(order)d], hits = new int[4 * 16];
+    int a, b, total, i1, i2, e1, e2, set, w0, w1, w2;
+
+    Model(int groups) {
+      this.groups = groups;
+      int n = 0;
+      for (int g = 0, m = 1; g < groups; g++, m <<= 4) n += m;
+      start = new int[16 * n];
+      tree = new int[16 * n];
+      for (int g = 0, m = 1, at = 0; g < groups; at += 16 * m, g++, m <<= 4)
+        for (int i = 0; i < 16 * m; i++) start[at + i] = ((i & 15) + 1) << (4 * (groups - 1 - g));
+    }
+
+    void reset() {
+      System.arraycopy(start, 0, tree, 0, tree.length);
+      java.util.Arrays.fill(t1, -1);
+      java.util.Arrays.fill(t2, -1);
+      for (int i = 0; i < 64; i += 4) { hits[i] = 2; hits[i + 1] = 2; hits[i + 2] = 8; }
+      a = b = 0;
+      total = 1 << (4 * groups);
+    }
+
+    /** What orders 1 and 2 guess, a confidence of 0 to 3 in the low bits, and the parts of PARTS that each order gets. */
+    void guess() {
+      int h = (a + 1) * 0x9E3779B1;
+      i1 = h >>> (32 - %(order)d);
+      i2 = ((h ^ (h >>> 15)) + (b + 1) * 0x85EBCA6B) * 0xC2B2AE35 >>> (32 - %(order)d);
+      e1 = t1[i1];
+      e2 = t2[i2];
+      set = (((e1 < 0 ? 0 : e1 & 3) << 2) | (e2 < 0 ? 0 : e2 & 3)) << 2;
+      int n1 = e1 < 0 ? 0 : hits[set + 1], n2 = e2 < 0 ? 0 : hits[set], n = n1 + n2 + hits[set + 2];
+      w1 = n1 * (PARTS - LEAST) / n;
+      w2 = n2 * (PARTS - LEAST) / n;
+      w0 = PARTS - w1 - w2;
+    }
+
+    int below(int x) {
+      int at = 0, sum = 0;
+      for (int g = groups - 1, m = 1; g >= 0; g--, m <<= 4) {
+        int i = at + (x >>> (4 * g));
+        if ((i & 15) != 0) sum += tree[i - 1];
+        at += 16 * m;
+      }
+      return sum;
+    }
+
+    int count(int x) {
+      int i = tree.length - (1 << (4 * groups)) + x;
+      return (i & 15) != 0 ? tree[i] - tree[i - 1] : tree[i];
+    }
+
+    /** The id whose share of the tree holds u. */
+    int find(int u) {
+      int at = 0, x = 0;
+      for (int g = groups - 1, m = 1; g >= 0; g--, m <<= 4) {
+        int i = at + (x << 4), k = 0;
+        if (tree[i + 7] <= u) k = 8;
+        if (tree[i + k + 3] <= u) k += 4;
+        if (tree[i + k + 1] <= u) k += 2;
+        if (tree[i + k] <= u) k++;
+        if (k > 0) u -= tree[i + k - 1];
+        x = (x << 4) | k;
+        at += 16 * m;
+      }
+      return x;
+    }
+
+    void learn(int x) {
+      boolean h1 = e1 >= 0 && (e1 >> 2) == x, h2 = e2 >= 0 && (e2 >> 2) == x;
+      int won = h2 ? set : h1 ? set + 1 : set + 2;
+      hits[won] += 2;
+      if (hits[won] > 4000) { hits[set] = (hits[set] >> 1) + 1; hits[set + 1] = (hits[set + 1] >> 1) + 1; hits[set + 2] = (hits[set + 2] >> 1) + 1; }
+      t1[i1] = h1 ? ((e1 & 3) < 3 ? e1 + 1 : e1) : e1 >= 0 && (e1 & 3) > 1 ? e1 - 1 : x << 2;
+      t2[i2] = h2 ? ((e2 & 3) < 3 ? e2 + 1 : e2) : e2 >= 0 && (e2 & 3) > 1 ? e2 - 1 : x << 2;
+      int at = 0;
+      for (int g = groups - 1, m = 1; g >= 0; g--, m <<= 4) {
+        int i = at + (x >>> (4 * g)), end = (i | 15) + 1;
+        for (; i < end; i++) tree[i] += STEP;
+        at += 16 * m;
+      }
+      total += STEP;
+      b = a;
+      a = x;
+    }
+  }
+
+  /** Codes n ids of a block: out of x into buf, or, if decoding, out of buf (from at to end) into x. Returns the bytes. */
+  static int code(Model m, int[] x, int from, int n, byte[] buf, int at, int end, boolean decode) {
+    m.reset();
+    long low = 0, range = -1L, code = 0;
+    int begin = at;
+    if (decode) for (int i = 0; i < 8; i++) code = (code << 8) | (at < end ? buf[at++] & 255 : 0);
+    for (int k = 0; k < n; k++) {
+      m.guess();
+      int g1 = m.e1 >> 2, g2 = m.e2 >> 2, id;
+      long all = m.total, r = ((range >>> 1) / (all * PARTS)) << 1;
+      if (decode) {
+        long v = Math.min(Long.divideUnsigned(code - low, r), all * PARTS - 1), less = 0;
+        id = -1;
+        int first = Math.min(g1, g2), last = Math.max(g1, g2);
+        for (int t = 0; t < 2 && id < 0; t++) {
+          int g = t == 0 ? first : last;
+          if (g < 0 || t == 1 && first == last) continue;
+          long w = (g == g1 ? m.w1 : 0) + (g == g2 ? m.w2 : 0), s = (long) m.w0 * m.below(g) + less * all;
+          if (v < s) break;
+          if (v < s + (long) m.w0 * m.count(g) + w * all) id = g;
+          else less += w;
+        }
+        if (id < 0) id = m.find((int) ((v - less * all) / m.w0));
+        x[from + k] = id;
+      } else id = x[from + k];
+      long start = (long) m.w0 * m.below(id), size = (long) m.w0 * m.count(id);
+      if (g1 >= 0) { if (g1 < id) start += m.w1 * all; else if (g1 == id) size += m.w1 * all; }
+      if (g2 >= 0) { if (g2 < id) start += m.w2 * all; else if (g2 == id) size += m.w2 * all; }
+      low += start * r;
+      range = size * r;
+      while (true) {
+        if (((low ^ (low + range)) >>> 56) != 0) {
+          if (range >>> 48 != 0) break;
+          range = -low & ((1L << 48) - 1);
+        }
+        if (decode) code = (code << 8) | (at < end ? buf[at++] & 255 : 0);
+        else buf[at++] = (byte) (low >>> 56);
+        low <<= 8;
+        range <<= 8;
+      }
+      m.learn(id);
+    }
+    if (!decode) for (int i = 0; i < 8; i++) { buf[at++] = (byte) (low >>> 56); low <<= 8; }
+    return at - begin;
+  }
+
+  static int groups(int vocab) {
+    int g = 1;
+    while (g < 7 && (1 << (4 * g)) < vocab) g++;
+    return g;
+  }
+
+  static FileSystem files(Path p) throws Exception {
+    return p.getFileSystem(org.apache.spark.deploy.SparkHadoopUtil.get().conf());
+  }
+
+  static IOException damaged(Object path, String what) { return new IOException(path + ": " + what + " is damaged"); }
+}
+
+public class QuillWriteIds implements org.apache.spark.sql.api.java.UDF5 {
+  /** Writes a file: its path, the bytes before the blocks, the ids (u32), the size of the vocabulary, ids a block. Returns its length. */
+  public Object call(Object path, Object head, Object raw, Object vocab, Object block) throws Exception {
+    IntBuffer in = ByteBuffer.wrap((byte[]) raw).order(ByteOrder.LITTLE_ENDIAN).asIntBuffer();
+    int[] x = new int[in.remaining()];
+    in.get(x);
+    int size = ((Integer) block).intValue();
+    QuillCoder.Model m = new QuillCoder.Model(QuillCoder.groups(((Integer) vocab).intValue()));
+    byte[] buf = new byte[Math.min(size, Math.max(1, x.length)) * 6 + 16];
+    Path to = new Path((String) path), part = new Path(path + "." + UUID.randomUUID() + ".part");
+    FileSystem fs = QuillCoder.files(to);
+    DataOutputStream out = new DataOutputStream(new BufferedOutputStream(fs.create(part, true), 1 << 16));
+    long total = ((byte[]) head).length;
+    out.write((byte[]) head);
+    ByteBuffer mark = ByteBuffer.allocate(12).order(ByteOrder.LITTLE_ENDIAN);
+    for (int i = 0; i < x.length; i += size) {
+      int n = Math.min(size, x.length - i), len = QuillCoder.code(m, x, i, n, buf, 0, 0, false);
+      CRC32 crc = new CRC32();
+      crc.update(buf, 0, len);
+      mark.clear();
+      mark.putInt(n).putInt(len).putInt((int) crc.getValue());
+      out.write(mark.array());
+      out.write(buf, 0, len);
+      total += 12 + len;
+    }
+    out.close();
+    fs.delete(to, false);
+    if (!fs.rename(part, to)) throw new IOException("can't rename " + part);
+    return Long.valueOf(total);
+  }
+
+}
+
+public class QuillReadIds implements org.apache.spark.sql.api.java.UDF1 {
+  static IOException damaged(Object path, String what) { return QuillCoder.damaged(path, what); }
+
+  /** Reads a file: an array of (doc_id, ids before, ids as bytes), in the file's order. */
+  public Object call(Object path) throws Exception {
+    Path from = new Path((String) path);
+    FSDataInputStream in = QuillCoder.files(from).open(from);
+    byte[] raw;
+    try { raw = org.apache.hadoop.io.IOUtils.readFullyToByteArray(in); } finally { in.close(); }
+    ByteBuffer f = ByteBuffer.wrap(raw).order(ByteOrder.LITTLE_ENDIAN);
+    if (raw.length < 32 || !new String(raw, 0, 8, "ISO-8859-1").equals("%(magic)s")) throw damaged(path, "the start");
+    int docs = f.getInt(8), vocab = f.getInt(12), table = f.getInt(16), open = f.getInt(20) + 24, at = open + table;
+    if (docs < 0 || at < open || at + 4 > raw.length) throw damaged(path, "the header");
+    CRC32 crc = new CRC32();
+    crc.update(raw, 0, at);
+    if ((int) crc.getValue() != f.getInt(at)) throw damaged(path, "the header");
+    Inflater z = new Inflater();
+    z.setInput(raw, open, table);
+    byte[] t = new byte[13 * docs];
+    for (int got = 0, n; got < t.length; got += n) { n = z.inflate(t, got, t.length - got); if (n <= 0) throw damaged(path, "the document table"); }
+    z.end();
+    ByteBuffer d = ByteBuffer.wrap(t).order(ByteOrder.LITTLE_ENDIAN);
+    long all = 0;
+    for (int i = 0; i < docs; i++) all += d.getInt(9 * docs + 4 * i);
+    int[] x = new int[(int) all];
+    QuillCoder.Model m = new QuillCoder.Model(QuillCoder.groups(vocab));
+    int done = 0, k = 0;
+    for (at += 4; at < raw.length; k++) {
+      if (at + 12 > raw.length) throw damaged(path, "block " + k);
+      int n = f.getInt(at), len = f.getInt(at + 4);
+      if (n < 0 || len < 0 || len > raw.length - at - 12 || done + n > x.length) throw damaged(path, "block " + k);
+      crc.reset();
+      crc.update(raw, at + 12, len);
+      if ((int) crc.getValue() != f.getInt(at + 8)) throw damaged(path, "block " + k);
+      QuillCoder.code(m, x, done, n, raw, at + 12, at + 12 + len, true);
+      done += n;
+      at += 12 + len;
+    }
+    if (done != x.length) throw damaged(path, "the end");
+    ArrayList rows = new ArrayList(docs);
+    int s = 0;
+    for (int i = 0; i < docs; i++) {
+      int n = d.getInt(9 * docs + 4 * i);
+      byte[] ids = new byte[4 * n];
+      ByteBuffer.wrap(ids).order(ByteOrder.LITTLE_ENDIAN).asIntBuffer().put(x, s, n);
+      Object id = null;
+      if (d.get(8 * docs + i) != 0) id = Long.valueOf(d.getLong(8 * i));
+      rows.add(RowFactory.create(new Object[] {id, Long.valueOf(s), Long.valueOf(n), ids}));
+      s += n;
+    }
+    return rows;
+  }
+}
+""" % {"order": ORDER, "magic": MAGIC.decode()}
+
+def _functions(spark: SparkSession) -> None:
+    jvm.register(spark, "quill_write_ids", "QuillWriteIds", CODER, "long")
+    jvm.register(spark, "quill_read_ids", "QuillReadIds", CODER, "array<struct<doc_id:long,before:long,n_tokens:long,ids:binary>>")
+
+
+def header(doc_ids: list, sizes: list, vocab: int) -> bytes:
+    """What stands before the blocks; a doc_id may be null."""
     known = np.array([d is not None for d in doc_ids], np.uint8)
-    index = zlib.compress(np.array([d or 0 for d in doc_ids], "<i8").tobytes() + known.tobytes() + np.array([len(d) for d in docs], "<u4").tobytes())
-    sums = [(len(b), zlib.crc32(b)) for b in blocks]
-    head = json.dumps({"ids": len(ids), "docs": len(docs), "vocab": vocab, "block": block, "blocks": len(blocks), "table": len(table), "index": len(index)}).encode()
-    os.makedirs(os.path.dirname(path), exist_ok=True)
-    temp = f"{path}.{os.getpid()}.part"
-    with open(temp, "wb") as f:
-        f.write(MAGIC + struct.pack("<I", len(head)) + head + table + index)
-        f.write(np.array(sums, "<u4").tobytes())
-        for b in blocks:
-            f.write(b)
-    os.replace(temp, path)
-    return {"ids": len(ids), "docs": len(docs), "bytes": os.path.getsize(path)}
-
-
-def read_file(path: str) -> tuple[list, list[np.ndarray]]:
-    """Document ids and each document's token ids. A block whose checksum differs raises ValueError."""
-    raw = open(path, "rb").read()
-    if raw[:8] != MAGIC:
-        raise ValueError(f"{path} is no token file")
-    at = 12 + struct.unpack("<I", raw[8:12])[0]
-    h = json.loads(raw[12:at])
-    freq = np.frombuffer(zlib.decompress(raw[at : at + h["table"]]), "<u4").astype(np.int64)
-    at += h["table"]
-    index, n = zlib.decompress(raw[at : at + h["index"]]), h["docs"]
-    at += h["index"]
-    doc, known, length = np.frombuffer(index[: 8 * n], "<i8"), index[8 * n : 9 * n], np.frombuffer(index[9 * n :], "<u4")
-    sums = np.frombuffer(raw[at : at + 8 * h["blocks"]], "<u4").reshape(-1, 2).tolist()
-    at += 8 * h["blocks"]
-    data = []
-    for k, (size, crc) in enumerate(sums):
-        b = raw[at : at + size]
-        at += size
-        if zlib.crc32(b) != crc:
-            raise ValueError(f"{path}: block {k} is damaged")
-        data.append(b)
-    ids = decode_blocks(data, h["ids"], freq, h["block"])
-    ends = np.cumsum(length)
-    return [d if k else None for d, k in zip(doc.tolist(), known)], np.split(ids, ends[:-1]) if n else []
-
-
-def store_documents(docs, path: str, out: str, end_id: int = 2, parts: int | None = None, block: int = BLOCK):
-    """Encodes texts and writes one file for each range of doc_ids, in ascending order. Returns the files as rows.
-
-    ``docs`` has doc_id and text; null texts count as empty, null ids come first, rows with the same id are ordered by
-    text. ``end_id`` ends each document. The rows (part, file, ids, docs, bytes) are as many as the files.
+    table = zlib.compress(np.array([d or 0 for d in doc_ids], "<i8").tobytes() + known.tobytes() + np.array(sizes, "<u4").tobytes())
+    note = json.dumps({"format": MAGIC.decode(), "docs": len(doc_ids), "ids": int(sum(sizes)), "vocab": vocab}).encode()
+    data = MAGIC + struct.pack("<IIII", len(doc_ids), vocab, len(table), len(note)) + note + table
+    return data + struct.pack("<I", zlib.crc32(data))
+
+
+def store_ids(rows: DataFrame, out: str, vocab: int, block: int = BLOCK) -> list:
+    """Writes one file for each row (part, seq, head, ids, n_ids, n_docs); returns the rows (file, ids, docs, bytes), in order of (part, seq)."""
+    spark = rows.sparkSession
+    _functions(spark)
+    file = F.format_string(f"{out.rstrip('/')}/part-%06d-%06d.tok", "part", "seq")
+    done = rows.select("part", "seq", file.alias("file"), F.col("n_ids").alias("ids"), F.col("n_docs").alias("docs"),
+                       F.call_function("quill_write_ids", file, F.col("head"), F.col("ids"), F.lit(vocab), F.lit(block)).alias("bytes"))
+    return sorted(done.collect())  # a row a file
+
+
+def store_documents(docs: DataFrame, path: str, out: str, end_id: int = 2, parts: int | None = None, block: int = BLOCK, file_ids: int = FILE_IDS) -> list:
+    """Encodes texts with the tokenizer at ``path`` and writes files in ascending doc_id order. Returns the files as rows.
+
+    ``docs`` has doc_id and text, other columns are not read; null texts count as empty, null ids come first, rows with the same id are
+    ordered by text, repeated rows are kept each. ``end_id`` ends each document. Ranges of doc_id are tasks; a task closes a file
+    once it has ``file_ids`` ids, so that what it holds doesn't grow with the table (one very long text is in one file whatever its
+    length). An empty table has no files. A task that is run again replaces its files by equal ones.
     """
     import pyarrow as pa
     from pyspark import TaskContext
-    from pyspark.sql import functions as F
 
-    from .common import local_path, width
     from .unit_cache import encoder
 
-    folder = local_path(out)
+    spark = docs.sparkSession
+    spread = parts or width(spark)
 
     def run(batches):
         e = encoder(path, "word")
-        ids, rows = [], []
+        end, part, seq = np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId(), 0
+        ids, sizes, data, held = [], [], [], 0
+
+        def close():
+            row = [[part], [seq], [header(ids, sizes, e.tok.get_vocab_size())], [b"".join(data)], [held], [len(ids)]]
+            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64()))], names=["part", "seq", "head", "ids", "n_ids", "n_docs"])
+
         for b in batches:
             for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
-                ids += part.column(0).to_pylist()
-                rows += [np.append(x, e.dtype(end_id)) for x in e.encode([t or "" for t in part.column(1).to_pylist()])]
-        if rows:
-            k, attempt = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId()
-            file = f"{folder}/part-{k:06d}-{attempt}.tok"
-            r = write_file(file, ids, rows, e.tok.get_vocab_size(), block)
-            yield pa.RecordBatch.from_pylist([{"part": k, "file": file, **r}])
+                part_ = b.slice(at, 256)
+                for d, x in zip(part_.column(0).to_pylist(), e.encode([t or "" for t in part_.column(1).to_pylist()])):
+                    ids.append(d)
+                    sizes.append(len(x) + 1)
+                    data += (x.astype("<u4").tobytes(), end)
+                    held += len(x) + 1
+                    if held >= file_ids:
+                        yield close()
+                        ids, sizes, data, held, seq = [], [], [], 0, seq + 1
+        if ids:
+            yield close()
 
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
-    d = d.repartitionByRange(parts or width(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
-    return sorted(d.mapInArrow(run, "part long, file string, ids long, docs long, bytes long").collect())
+    d = d.repartitionByRange(spread, "doc_id").sortWithinPartitions("doc_id", "text")
+    rows = d.mapInArrow(run, "part int, seq int, head binary, ids binary, n_ids long, n_docs long")
+    return store_ids(rows, out, encoder(path, "word").tok.get_vocab_size(), block)
 
 
-def read_documents(spark, files):
-    """(doc_id, start, ids array<int>) of all documents in the files that ``store_documents`` names; start counts the ids before."""
-    import pyarrow as pa
-
-    def run(batches):
-        for b in batches:
-            for f in b.to_pylist():
-                doc, ids = read_file(f["file"])
-                ends = np.cumsum([len(x) for x in ids])
-                for i in range(0, len(doc), 1000):
-                    x = ids[i : i + 1000]
-                    size = np.array([len(y) for y in x])
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array(doc[i : i + 1000], pa.int64()), pa.array(f["start"] + ends[i : i + 1000] - size, pa.int64()),
-                        pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)].astype(np.int32)), pa.array(np.concatenate(x).astype(np.int32)))], names=["doc_id", "start", "ids"])
+def read_documents(spark: SparkSession, files: list) -> DataFrame:
+    """(doc_id, start, n_tokens, ids) of all documents in the files that ``store_documents`` names.
 
+    ``start`` counts the ids before; ``ids`` is binary, an unsigned 32-bit little-endian integer an id. A damaged header or block
+    fails the query.
+    """
+    _functions(spark)
     start, rows = 0, []
     for f in files:
         rows.append((f.file, start))
         start += f.ids
-    d = spark.createDataFrame(rows, "file string, start long").repartition(max(1, len(rows)))
-    return d.mapInArrow(run, "doc_id long, start long, ids array<int>")
-
+    d = spark.createDataFrame(rows, "file string, start long").repartition(max(1, len(rows)), "file")
+    docs = d.select(F.col("start").alias("_start"), F.inline(F.call_function("quill_read_ids", "file")))
+    return docs.select("doc_id", (F.col("_start") + F.col("before")).alias("start"), "n_tokens", "ids")
 
-def digest_documents(spark, files):
-    """(doc_id, start, n_tokens, ids_crc32) from the files; the ids themselves stay in the worker."""
-    import pyarrow as pa
 
-    def run(batches):
-        for b in batches:
-            for f in b.to_pylist():
-                doc, ids = read_file(f["file"])
-                size = np.array([len(x) for x in ids], np.int64)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(doc, pa.int64()), pa.array(f["start"] + np.cumsum(size) - size), pa.array(size),
-                    pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in ids], pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
-
-    start, rows = 0, []
-    for f in files:
-        rows.append((f.file, start))
-        start += f.ids
-    d = spark.createDataFrame(rows, "file string, start long").repartition(max(1, len(rows)))
-    return d.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+def digest_documents(spark: SparkSession, files: list) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32) of what ``read_documents`` gives."""
+    return read_documents(spark, files).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))

@@ -43,18 +43,35 @@ def test_quality(docs, empty):
 
 def test_token_files(spark, docs, empty, tmp_path):
     path, t = str(P.path("word_bpe_49k.json")), tokenizer("word_bpe_49k.json")
-    files = token_store.store_documents(docs, path, f"file://{tmp_path}/a", parts=3, block=64)
+    files = token_store.store_documents(docs, path, f"file://{tmp_path}/a", parts=3, block=64, file_ids=500)
     start = 0
     for r in sorted(token_store.read_documents(spark, files).collect(), key=lambda r: r.start):
         ids = t.encode(TEXTS[r.doc_id] or "", add_special_tokens=False).ids + [2]
-        assert (r.start, list(r.ids)) == (start, ids)
+        assert (r.start, r.n_tokens, np.frombuffer(r.ids, "<u4").tolist()) == (start, len(ids), ids)
         start += len(ids)
+    assert len(files) > 3 and start == sum(f.ids for f in files)
     assert token_store.digest_documents(spark, token_store.store_documents(empty, path, f"file://{tmp_path}/b")).count() == 0
-    raw = bytearray(open(files[-1].file, "rb").read())
-    raw[-5] ^= 1
-    open(files[-1].file, "wb").write(raw)
-    with pytest.raises(ValueError):
-        token_store.read_file(files[-1].file)
+    file = files[-1].file.removeprefix("file://")
+    whole = open(file, "rb").read()
+    for at in (len(whole) - 5, 12, 40):  # a block, the header, the document table
+        raw = bytearray(whole)
+        raw[at] ^= 1
+        open(file, "wb").write(raw)
+        with pytest.raises(Exception, match="damaged"):
+            token_store.read_documents(spark, files).collect()
+
+
+@pytest.mark.parametrize("vocab", [2, 300, 49152, 70000, 2**20])
+def test_range_coder(spark, tmp_path, vocab):
+    rng = np.random.default_rng(vocab)
+    for k, ids in enumerate([[], [vocab - 1], [0] * 5000, rng.integers(0, vocab, 3000).tolist(), (np.minimum(rng.zipf(1.2, 4000), vocab) - 1).tolist() * 2]):
+        x = np.array(ids, "<u4")
+        row = [(0, k, token_store.header([None], [len(x)], vocab), x.tobytes(), len(x), 1)]
+        df = spark.createDataFrame(row, "part int, seq int, head binary, ids binary, n_ids long, n_docs long")
+        files = token_store.store_ids(df, f"file://{tmp_path}", vocab, block=1000)
+        (r,) = token_store.read_documents(spark, files).collect()
+        assert (r.doc_id, r.start, bytes(r.ids)) == (None, 0, x.tobytes())
+        assert k != 2 or files[0].bytes < 600
 
 
 def test_chunk_codec(docs, empty):
