@@ -23,8 +23,8 @@ def pieces(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, id
     def run(batches):
         e = encoder(path, "word")
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
+            for at in range(0, b.num_rows, 512):
+                part = b.slice(at, 512)
                 rows: list[tuple] = []
                 for doc, ids in zip(part.column(0).to_pylist(), e.encode([t or "" for t in part.column(1).to_pylist()])):
                     ids = np.append(ids, end_id).astype("<u4")

@@ -1,6 +1,6 @@
 """Token-id files: blocks of ids under an adaptive context-mixing range coder, each reset and checksummed by itself.
 
-Each id is predicted three times: by a distribution over all ids that counts what the block had so far (order 0), and by the id that came
+Each id is predicted three times: by a distribution over all ids that counts what the block had so far, renewed every EVERY ids, sooner at first (order 0), and by the id that came
 last after the id before (order 1) and after the two ids before (order 2), each with a confidence that grows when it is right. A mixer
 adds the three predictions; its weights are learnt on the way, one set for each pair of confidences. The mixed distribution drives a
 64-bit range coder. All of that starts afresh in each block, so a block needs nothing but itself, and a damaged one costs no other.
@@ -43,31 +43,40 @@ import org.apache.hadoop.fs.Path;
 import org.apache.spark.sql.RowFactory;
 
 class QuillCoder {
-  static final int STEP = 24, PARTS = 4096, LEAST = 64;
+  static final int STEP = 24, PARTS = 4096, LEAST = 64, EVERY = 2048, FIND = 13;
 
-  /** The state of one block: the sums of order 0 as a tree of 16 branches, the guesses of orders 1 and 2, the weights. */
+  /** The state of one block: what order 0 counted, as sums that are renewed on the way; the guesses of orders 1 and 2; the weights. */
   static final class Model {
-    final int groups;
-    final int[] tree, start, t1 = new int[1 << %(order)d], t2 = new int[1 << %(order)d], hits = new int[4 * 16];
-    int a, b, total, i1, i2, e1, e2, set, w0, w1, w2;
-
-    Model(int groups) {
-      this.groups = groups;
-      int n = 0;
-      for (int g = 0, m = 1; g < groups; g++, m <<= 4) n += m;
-      start = new int[16 * n];
-      tree = new int[16 * n];
-      for (int g = 0, m = 1, at = 0; g < groups; at += 16 * m, g++, m <<= 4)
-        for (int i = 0; i < 16 * m; i++) start[at + i] = ((i & 15) + 1) << (4 * (groups - 1 - g));
+    final int vocab;
+    final int[] count, sum, from = new int[(1 << FIND) + 2], t1 = new int[1 << %(order)d], t2 = new int[1 << %(order)d], hits = new int[4 * 16];
+    int a, b, i1, i2, e1, e2, set, w0, w1, w2, seen, next, shift;
+
+    Model(int vocab) {
+      this.vocab = vocab;
+      count = new int[vocab];
+      sum = new int[vocab + 1];
     }
 
     void reset() {
-      System.arraycopy(start, 0, tree, 0, tree.length);
+      java.util.Arrays.fill(count, 1);
       java.util.Arrays.fill(t1, -1);
       java.util.Arrays.fill(t2, -1);
       for (int i = 0; i < 64; i += 4) { hits[i] = 2; hits[i + 1] = 2; hits[i + 2] = 8; }
-      a = b = 0;
-      total = 1 << (4 * groups);
+      a = b = seen = 0;
+      next = 64;
+      renew();
+    }
+
+    /** Sums of the counts, and for each stretch of the sums the first id in it. */
+    void renew() {
+      int s = 0;
+      for (int i = 0; i < vocab; i++) { sum[i] = s; s += count[i]; }
+      sum[vocab] = s;
+      shift = Math.max(0, 32 - Integer.numberOfLeadingZeros(s) - FIND);
+      for (int k = 0, i = 0; k < from.length; k++) {
+        while (i < vocab - 1 && (long) sum[i + 1] <= (long) k << shift) i++;
+        from[k] = i;
+      }
     }
 
     /** What orders 1 and 2 guess, a confidence of 0 to 3 in the low bits, and the parts of PARTS that each order gets. */
@@ -84,35 +93,14 @@ class QuillCoder {
       w0 = PARTS - w1 - w2;
     }
 
-    int below(int x) {
-      int at = 0, sum = 0;
-      for (int g = groups - 1, m = 1; g >= 0; g--, m <<= 4) {
-        int i = at + (x >>> (4 * g));
-        if ((i & 15) != 0) sum += tree[i - 1];
-        at += 16 * m;
-      }
-      return sum;
-    }
-
-    int count(int x) {
-      int i = tree.length - (1 << (4 * groups)) + x;
-      return (i & 15) != 0 ? tree[i] - tree[i - 1] : tree[i];
-    }
-
-    /** The id whose share of the tree holds u. */
+    /** The id whose share of order 0 holds u. */
     int find(int u) {
-      int at = 0, x = 0;
-      for (int g = groups - 1, m = 1; g >= 0; g--, m <<= 4) {
-        int i = at + (x << 4), k = 0;
-        if (tree[i + 7] <= u) k = 8;
-        if (tree[i + k + 3] <= u) k += 4;
-        if (tree[i + k + 1] <= u) k += 2;
-        if (tree[i + k] <= u) k++;
-        if (k > 0) u -= tree[i + k - 1];
-        x = (x << 4) | k;
-        at += 16 * m;
+      int low = from[u >>> shift], high = from[(u >>> shift) + 1];
+      while (low < high) {
+        int mid = (low + high + 1) >>> 1;
+        if (sum[mid] <= u) low = mid; else high = mid - 1;
       }
-      return x;
+      return low;
     }
 
     void learn(int x) {
@@ -122,15 +110,13 @@ class QuillCoder {
       if (hits[won] > 4000) { hits[set] = (hits[set] >> 1) + 1; hits[set + 1] = (hits[set + 1] >> 1) + 1; hits[set + 2] = (hits[set + 2] >> 1) + 1; }
       t1[i1] = h1 ? ((e1 & 3) < 3 ? e1 + 1 : e1) : e1 >= 0 && (e1 & 3) > 1 ? e1 - 1 : x << 2;
       t2[i2] = h2 ? ((e2 & 3) < 3 ? e2 + 1 : e2) : e2 >= 0 && (e2 & 3) > 1 ? e2 - 1 : x << 2;
-      int at = 0;
-      for (int g = groups - 1, m = 1; g >= 0; g--, m <<= 4) {
-        int i = at + (x >>> (4 * g)), end = (i | 15) + 1;
-        for (; i < end; i++) tree[i] += STEP;
-        at += 16 * m;
-      }
-      total += STEP;
+      count[x] += STEP;
       b = a;
       a = x;
+      if (++seen == next) {
+        next += Math.min(next, EVERY);
+        renew();
+      }
     }
   }
 
@@ -143,7 +129,7 @@ class QuillCoder {
     for (int k = 0; k < n; k++) {
       m.guess();
       int g1 = m.e1 >> 2, g2 = m.e2 >> 2, id;
-      long all = m.total, r = ((range >>> 1) / (all * PARTS)) << 1;
+      long all = m.sum[m.vocab], r = ((range >>> 1) / (all * PARTS)) << 1;
       if (decode) {
         long v = Math.min(Long.divideUnsigned(code - low, r), all * PARTS - 1), less = 0;
         id = -1;
@@ -151,15 +137,15 @@ class QuillCoder {
         for (int t = 0; t < 2 && id < 0; t++) {
           int g = t == 0 ? first : last;
           if (g < 0 || t == 1 && first == last) continue;
-          long w = (g == g1 ? m.w1 : 0) + (g == g2 ? m.w2 : 0), s = (long) m.w0 * m.below(g) + less * all;
+          long w = (g == g1 ? m.w1 : 0) + (g == g2 ? m.w2 : 0), s = (long) m.w0 * m.sum[g] + less * all;
           if (v < s) break;
-          if (v < s + (long) m.w0 * m.count(g) + w * all) id = g;
+          if (v < (long) m.w0 * m.sum[g + 1] + (less + w) * all) id = g;
           else less += w;
         }
         if (id < 0) id = m.find((int) ((v - less * all) / m.w0));
         x[from + k] = id;
       } else id = x[from + k];
-      long start = (long) m.w0 * m.below(id), size = (long) m.w0 * m.count(id);
+      long start = (long) m.w0 * m.sum[id], size = (long) m.w0 * (m.sum[id + 1] - m.sum[id]);
       if (g1 >= 0) { if (g1 < id) start += m.w1 * all; else if (g1 == id) size += m.w1 * all; }
       if (g2 >= 0) { if (g2 < id) start += m.w2 * all; else if (g2 == id) size += m.w2 * all; }
       low += start * r;
@@ -180,12 +166,6 @@ class QuillCoder {
     return at - begin;
   }
 
-  static int groups(int vocab) {
-    int g = 1;
-    while (g < 7 && (1 << (4 * g)) < vocab) g++;
-    return g;
-  }
-
   static FileSystem files(Path p) throws Exception {
     return p.getFileSystem(org.apache.spark.deploy.SparkHadoopUtil.get().conf());
   }
@@ -200,7 +180,7 @@ public class QuillWriteIds implements org.apache.spark.sql.api.java.UDF5 {
     int[] x = new int[in.remaining()];
     in.get(x);
     int size = ((Integer) block).intValue();
-    QuillCoder.Model m = new QuillCoder.Model(QuillCoder.groups(((Integer) vocab).intValue()));
+    QuillCoder.Model m = new QuillCoder.Model(((Integer) vocab).intValue());
     byte[] buf = new byte[Math.min(size, Math.max(1, x.length)) * 6 + 16];
     Path to = new Path((String) path), part = new Path(path + "." + UUID.randomUUID() + ".part");
     FileSystem fs = QuillCoder.files(to);
@@ -251,7 +231,7 @@ public class QuillReadIds implements org.apache.spark.sql.api.java.UDF1 {
     long all = 0;
     for (int i = 0; i < docs; i++) all += d.getInt(9 * docs + 4 * i);
     int[] x = new int[(int) all];
-    QuillCoder.Model m = new QuillCoder.Model(QuillCoder.groups(vocab));
+    QuillCoder.Model m = new QuillCoder.Model(vocab);
     int done = 0, k = 0;
     for (at += 4; at < raw.length; k++) {
       if (at + 12 > raw.length) throw damaged(path, "block " + k);
@@ -327,12 +307,12 @@ def store_documents(docs: DataFrame, path: str, out: str, end_id: int = 2, parts
         ids, sizes, data, held = [], [], [], 0
 
         def close():
-            row = [[part], [seq], [header(ids, sizes, e.tok.get_vocab_size())], [b"".join(data)], [held], [len(ids)]]
+            row = [[part], [seq], [header(ids, sizes, e.size)], [b"".join(data)], [held], [len(ids)]]
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64()))], names=["part", "seq", "head", "ids", "n_ids", "n_docs"])
 
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part_ = b.slice(at, 256)
+            for at in range(0, b.num_rows, 512):
+                part_ = b.slice(at, 512)
                 for d, x in zip(part_.column(0).to_pylist(), e.encode([t or "" for t in part_.column(1).to_pylist()])):
                     ids.append(d)
                     sizes.append(len(x) + 1)
@@ -347,7 +327,7 @@ def store_documents(docs: DataFrame, path: str, out: str, end_id: int = 2, parts
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
     d = d.repartitionByRange(spread, "doc_id").sortWithinPartitions("doc_id", "text")
     rows = d.mapInArrow(run, "part int, seq int, head binary, ids binary, n_ids long, n_docs long")
-    return store_ids(rows, out, encoder(path, "word").tok.get_vocab_size(), block)
+    return store_ids(rows, out, encoder(path, "word").size, block)
 
 
 def read_documents(spark: SparkSession, files: list) -> DataFrame:

@@ -13,11 +13,13 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from functools import lru_cache
-from itertools import accumulate
+from itertools import accumulate, islice
 
 import numpy as np
 
+_RUN = re.compile(r"\s\s")  # of any white space, that of other scripts too
 MAX_UNITS = 400_000  # units kept per worker; the memory bound of the cache
 CACHED_UNIT = 12  # longer units are too seldom met again to be kept
 MAX_UNIT = 48  # longer units go to the tokenizer
@@ -143,7 +145,8 @@ class UnitEncoder:
         self.tok.no_truncation()
         self.tok.no_padding()
         self.kind = kind
-        self.dtype = np.uint16 if self.tok.get_vocab_size() <= 65536 else np.uint32
+        self.size = 1 + max(self.tok.get_vocab().values())
+        self.dtype = np.uint16 if self.size <= 65536 else np.uint32
         self.merges = BatchMerges(path)
         letters = b"abcdefghijklmnopqrstuvwxyz" + (b"ABCDEFGHIJKLMNOPQRSTUVWXYZ" if kind == "byte" else b"")
         self.odd = np.array([b not in letters if b < 128 else b == 0xC2 or b > 0xC8 for b in range(256)])
@@ -185,28 +188,30 @@ class UnitEncoder:
     def _units(self, text: str) -> list[str] | None:
         if self.kind == "word":
             return text.replace("\n", " ").split(" ")
-        if not text or "  " in text or "\n\n" in text or " \n" in text or "\n " in text:
+        if not text or _RUN.search(text):
             return None
         return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0") if "\0" not in text else None
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, as the tokenizer's own encode gives them."""
         cut = [self._units(t) for t in texts]
-        get = self.cache.get
-        found = [None if u is None else list(map(get, u)) for u in cut]
-        missing = {x for u, f in zip(cut, found) if f is not None and None in f for x, y in zip(u, f) if y is None}
-        if missing:
-            new = list(missing)
-            fresh = dict(zip(new, self._new(new)))
-            short = {k: v for k, v in fresh.items() if len(k) <= CACHED_UNIT}
-            if len(self.cache) + len(short) > MAX_UNITS:
-                self.cache = dict(list(self.cache.items())[: MAX_UNITS // 2])  # what came first is what comes often
-            self.cache.update(short)
-            for u, f in zip(cut, found):
-                if f is not None and None in f:
-                    f[:] = [fresh[x] if y is None else y for x, y in zip(u, f)]
+        if len(self.cache) > MAX_UNITS:
+            self.cache = dict(islice(self.cache.items(), MAX_UNITS // 2))  # what came first is what comes often
+        flat: list[str] = []
+        ends = []
+        for u in cut:
+            flat += u or ()
+            ends.append(len(flat))
+        found = list(map(self.cache.get, flat))
+        gaps = [i for i, x in enumerate(found) if x is None]
+        if gaps:
+            missing = list({flat[i] for i in gaps})
+            fresh = dict(zip(missing, self._new(missing)))
+            for i in gaps:
+                found[i] = fresh[flat[i]]
+            self.cache.update((k, v) for k, v in fresh.items() if len(k) <= CACHED_UNIT)
+        out = [b"".join(found[i:j]) for i, j in zip([0, *ends], ends)]
         whole = [i for i, u in enumerate(cut) if u is None]
-        out = [b"" if f is None else b"".join(f) for f in found]
         for i, ids in zip(whole, self._raw([texts[i] for i in whole])):
             out[i] = ids
         return [np.frombuffer(x, self.dtype) for x in out]

@@ -53,7 +53,7 @@ def test_token_files(spark, docs, empty, tmp_path):
     assert token_store.digest_documents(spark, token_store.store_documents(empty, path, f"file://{tmp_path}/b")).count() == 0
     file = files[-1].file.removeprefix("file://")
     whole = open(file, "rb").read()
-    for at in (len(whole) - 5, 12, 40):  # a block, the header, the document table
+    for at in (len(whole) - 5, 12, 70):  # a block, the header, the document table
         raw = bytearray(whole)
         raw[at] ^= 1
         open(file, "wb").write(raw)
@@ -83,6 +83,25 @@ def test_chunk_codec(docs, empty):
     assert chunk_codec.encode_documents(empty, path).count() == 0
 
 
+def test_units_are_the_tokenizers_own():
+    import random
+
+    from quillspark.llm.unit_cache import UnitEncoder
+
+    r = random.Random(5)
+    parts = ["a", "the ", "b\n", "\n", "\n\n", " ", "  ", "\xa0", "\xa0\xa0", "\r", "\r\n", "\t", "\v", "\u3000", "\x85", "\u2028", "x.", "word,", "It's", "'ll", "<|endoftext|>", "日本", "é", "12", "3.5", "...", "İ", "ß", "ABC", "e\u0301", "\x1c", "\u200b", "long" * 20, " Z", "=", "ﬁ", "½", "\x00"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(1, 40))) for _ in range(1500)] + ["a\n\xa0\xa0b"]
+    texts += [" ".join(r.choice(["alpha", "beta", "gamma,", "delta.", "the", "x1", "Zeta"]) for _ in range(r.randint(200, 900))) + r.choice(parts) for _ in range(40)]
+    for name, kind in (("word_bpe_49k.json", "word"), ("byte_bpe_50k.json", "byte")):
+        e = UnitEncoder(str(P.path(name)), kind)
+        want = [x.ids for x in e.tok.encode_batch(texts, add_special_tokens=False)]
+        assert [x.tolist() for x in e.encode(texts)] == want
+    c = chunk_codec.ChunkCodec(str(P.path("byte_bpe_50k.json")))
+    for _ in range(2):  # the second time from the store
+        got = c.encode(texts)
+        assert [x.tolist() for x in got] == want and [c.decode(x) for x in got] == [c.units.tok.decode(x, skip_special_tokens=False) for x in want]
+
+
 def test_packing(docs, empty):
     path = str(P.path("word_bpe_49k.json"))
     rows = packing.pack_documents(docs, path, capacity=128, per_task=4).collect()
