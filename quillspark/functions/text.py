@@ -145,3 +145,155 @@ def unvbyte(data: bytes) -> list[int]:
     if shift:
         raise ValueError("the data end within a number")
     return out
+
+
+def stems_of(words) -> Column:
+    """Stems of an array of terms, by an Arrow function with a dictionary a worker; URLs stay."""
+    def run(column: pd.Series) -> pd.Series:
+        return column.map(lambda ws: [w if "://" in w else stem(w) for w in ws], na_action="ignore")
+
+    return F.pandas_udf(run, "array<string>")(words)
+
+
+def analyze(text: str | None) -> list[str]:
+    """The terms of a query on the driver: tokens in lower case, stemmed; the same steps as for the index."""
+    return [x[0] for x in spans(text or "")]
+
+
+_PY_TOKEN = None
+
+
+def _token_pattern():
+    global _PY_TOKEN
+    if _PY_TOKEN is None:
+        import regex
+
+        _PY_TOKEN = regex.compile(TOKEN.replace("\\p{IsWhite_Space}", "\\p{White_Space}").replace("\\p{IsAlphabetic}", "\\p{Alphabetic}"))
+    return _PY_TOKEN
+
+
+def raw_spans(text: str) -> list[tuple[str, int, int]]:
+    """(token, start, end) in code points, as ``tokens`` finds them."""
+    out = []
+    for m in _token_pattern().finditer(text):
+        t = m.group()
+        if re.match(_URL, t):
+            t = t.rstrip(".,?!")
+        out.append((t, m.start(), m.start() + len(t)))
+    return out
+
+
+def spans(text: str) -> list[tuple[str, int, int]]:
+    """(term, start, end) with stems, offsets in code points."""
+    return [(t if re.match(_URL, t) else stem(t.lower()), a, b) for t, a, b in raw_spans(text)]
+
+
+def byte_spans(text) -> Column:
+    """Array of (token, start, end, position) with UTF-8 byte offsets of each token."""
+    def one(t):
+        out, at, done = [], 0, 0
+        for k, (w, a, b) in enumerate(raw_spans(t)):
+            at += len(t[done:a].encode())
+            size = len(w.encode())
+            out.append({"token": w, "start": at, "end": at + size, "position": k})
+            at, done = at + size, b
+        return out
+
+    return F.pandas_udf(lambda s: s.map(one, na_action="ignore"), "array<struct<token:string,start:int,end:int,position:int>>")(text)
+
+
+STOP_WORDS = frozenset("""
+a i be de he ie me re we if of eg am an in on un co do go no so to up or as is us at it by my via inc etc had and ltd
+see she the one are due off all him can ten con own who too two top her per for nor our has was his its get yet not
+but out put you few how now six may why any find once made side take name same some mine nine done none here were fire
+more else have five give move each much such with both back call well fill mill will full seem them whom from than
+been then when even thin upon down also into onto keep ever over four your this hers ours less thus that what cant
+part last most must next thru show they only many very could would found third hence since three while whole alone
+noone there where these those whose above being along among which thick until still often again under other after
+never their seems yours eight might front hasnt least first about below every fifty empty forty sixty indeed seemed
+should behind beyond around toward thence whence beside became become anyone before please twelve itself myself during
+though enough detail system bottom eleven herein within rather either former latter others across always amount cannot
+except almost anyhow anyway hereby nobody namely mostly twenty hundred someone sincere nowhere because himself herself
+nothing seeming through several fifteen between therein wherein whether neither whither another further whoever
+however whereas towards besides becomes perhaps serious couldnt amongst against without somehow thereby whereby
+already describe sometime everyone anywhere yourself anything becoming although hereupon together whenever wherever
+whatever moreover interest amoungst formerly latterly meanwhile somewhere elsewhere therefore otherwise something
+thereupon whereupon hereafter sometimes ourselves beforehand everywhere everything thereafter whereafter afterwards
+themselves yourselves throughout nevertheless
+""".split())
+
+
+def stop_stems() -> list[str]:
+    """The English stop words as the index holds them."""
+    return sorted({stem(w) for w in STOP_WORDS})
+
+
+def gaps(values: Column) -> Column:
+    """Differences of an ascending array, the first value as it is."""
+    return F.transform(values, lambda x, i: x - F.coalesce(F.get(values, i - 1), F.lit(0)))
+
+
+def ungap(values: Column) -> Column:
+    """The running sums of an array of gaps."""
+    return F.transform(values, lambda _, i: F.aggregate(F.slice(values, 1, i + 1), F.lit(0).cast("long"), lambda a, x: a + x))
+
+
+def pack(values: list[int]) -> bytes:
+    """Gaps of an ascending list in variable bytes."""
+    return b"".join(vbyte(b - a) for a, b in zip([0, *values], values))
+
+
+def unpack(data: bytes) -> list[int]:
+    """The list back; ValueError if the bytes are damaged."""
+    out, at = [], 0
+    for gap in unvbyte(data):
+        at += gap
+        out.append(at)
+    return out
+
+
+def pack_udf(values) -> Column:
+    return F.pandas_udf(lambda s: s.map(lambda v: pack([int(x) for x in v]), na_action="ignore"), "binary")(values)
+
+
+def unpack_udf(data) -> Column:
+    return F.pandas_udf(lambda s: s.map(lambda v: unpack(bytes(v)), na_action="ignore"), "array<int>")(data)
+
+
+def packed_size(values: Column) -> Column:
+    """How many bytes ``pack`` takes, by built-ins: one for each started group of seven bits."""
+    width = lambda g: F.greatest(F.lit(1), F.ceil(F.length(F.bin(g)) / 7))
+    return F.aggregate(gaps(values), F.lit(0).cast("long"), lambda a, g: a + width(g.cast("long")).cast("long"))
+
+
+def percent_decode(text: str) -> str:
+    """``+`` is a space, ``%XX`` a byte; a bad escape leaves the sign and takes the two bytes with it; bad UTF-8 becomes U+FFFD."""
+    data, out, at = text.encode(), bytearray(), 0
+    while at < len(data):
+        b = data[at]
+        if b == 37:
+            two = data[at + 1 : at + 3].decode("latin-1")
+            good = re.fullmatch("[0-9a-fA-F]{2}", two)
+            out.append(int(two, 16) if good else 37)
+            at += 3
+        else:
+            out.append(32 if b == 43 else b)
+            at += 1
+    return out.decode("utf-8", "replace")
+
+
+def query_params(query: str) -> dict[str, str]:
+    """The decoded pairs of a query string; of equal keys the last counts."""
+    pairs = (p.partition("=") for p in query.split("&")) if query else ()
+    return {percent_decode(k): percent_decode(v) for k, _, v in pairs}
+
+
+def percent_decode_udf(text) -> Column:
+    return F.pandas_udf(lambda s: s.map(percent_decode, na_action="ignore"), "string")(text)
+
+
+def fnv1a(data: bytes) -> int:
+    h = 0xCBF29CE484222325
+    for b in data:
+        h = (h ^ b) * 0x100000001B3 & 0xFFFFFFFFFFFFFFFF
+    return h

@@ -8,9 +8,15 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import analyze, raw_spans
+
 
 class QueryError(ValueError):
-    """A query that can't be parsed."""
+    """A query that can't be parsed; ``kind`` is empty, quote, parenthesis, token or end."""
+
+    def __init__(self, kind: str, message: str):
+        super().__init__(message)
+        self.kind = kind
 
 
 @dataclass(frozen=True)
@@ -20,7 +26,7 @@ class Node:
     kids: tuple["Node", ...] = ()
 
 
-_LEX = re.compile(r'\s*(?:(?P<p>[()])|"(?P<q>[^"]*)(?P<qe>"?)|(?P<a>&&)|(?P<o>\|\|)|(?P<n>!|-(?=\S))|(?P<w>(?:(?!&&|\|\|)[^\s()"!])+))')
+_LEX = re.compile(r'\s*(?:(?P<p>[()])|"(?P<q>[^"]*)(?P<qe>"?)|(?P<a>&&)|(?P<o>\|\|)|(?P<n>!|-)|(?P<w>(?:(?!&&|\|\|)[^\s()"!])+))')
 
 
 def lex(text: str) -> list[tuple[str, str]]:
@@ -29,17 +35,17 @@ def lex(text: str) -> list[tuple[str, str]]:
     while at < len(text):
         m = _LEX.match(text, at)
         if not m:
-            raise QueryError(f"unexpected text at {at}")
+            raise QueryError("token", f"unexpected text at {at}")
         if m["q"] is not None and not m["qe"]:
-            raise QueryError(f"unclosed quote at {m.start('q') - 1}")
+            raise QueryError("quote", f"unclosed quote at {m.start('q') - 1}")
         if m["p"]:
             out.append((m["p"], m["p"]))
         elif m["q"] is not None:
             out.append(("phrase", m["q"].strip()))
         elif m["w"]:
             w = m["w"]
-            kind = w.lower() if w.lower() in ("and", "or", "not") else "prefix" if w.endswith("*") and len(w) > 1 else "term"
-            out.append((kind, w.rstrip("*") if kind == "prefix" else w))
+            kind = w.lower() if w.lower() in ("and", "or", "not") else "prefix" if w.endswith("*") else "term"
+            out.append((kind, w[:-1] if kind == "prefix" else w))
         else:
             kind = "and" if m["a"] else "or" if m["o"] else "not"
             out.append((kind, kind))
@@ -51,7 +57,7 @@ def parse(text: str) -> Node:
     """OR binds weakest, then AND, written or implied, then NOT."""
     toks = lex(text)
     if not toks:
-        raise QueryError("empty query")
+        raise QueryError("empty", "empty query")
     at = 0
 
     def peek():
@@ -69,7 +75,7 @@ def parse(text: str) -> Node:
         nonlocal at
         kind = peek()
         if not kind:
-            raise QueryError("unexpected end of query")
+            raise QueryError("end", "unexpected end of query")
         value = toks[at][1]
         at += 1
         if kind == "not":
@@ -77,33 +83,54 @@ def parse(text: str) -> Node:
         if kind == "(":
             inner = either()
             if peek() != ")":
-                raise QueryError("unmatched parenthesis")
+                raise QueryError("parenthesis", "unmatched parenthesis")
             at += 1
             return inner
         if kind in ("term", "phrase", "prefix"):
             return Node(kind, value)
-        raise QueryError(f"unexpected {value}")
+        raise QueryError("token", f"unexpected {value}")
 
     def either() -> Node:
         return many("or", lambda: many("and", unary))
 
     tree = either()
     if at < len(toks):
-        raise QueryError(f"unexpected {toks[at][1]}")
+        raise QueryError("token", f"unexpected {toks[at][1]}")
     return tree
 
 
-def phrase(rows: DataFrame, words: list[str]) -> DataFrame:
+def phrase(index, words: list[str]) -> DataFrame:
     """Documents where the words follow one another: equal starts after each word's offset is taken off."""
     wanted = F.array(*[F.struct(F.lit(w).alias("term"), F.lit(k).alias("k")) for k, w in enumerate(words)])
-    hits = rows.filter(F.col("term").isin(words)).select("doc_id", "pos", "term", F.explode(wanted).alias("w")).filter(F.col("w.term") == F.col("term"))
+    rows = index.postings.filter(F.col("term").isin(words)).select("doc_id", "term", F.explode("positions").alias("pos"))
+    hits = rows.select("doc_id", "pos", "term", F.explode(wanted).alias("w")).filter(F.col("w.term") == F.col("term"))
     starts = hits.groupBy("doc_id", (F.col("pos") - F.col("w.k")).alias("start")).agg(F.countDistinct("w.k").alias("n"))
     return starts.filter(F.col("n") == len(words)).select("doc_id").distinct()
 
 
-def run(tree: Node | str, rows: DataFrame, docs: DataFrame, words_of=lambda s: re.findall(r"\w+", s.lower())) -> DataFrame:
-    """doc_ids that match. One pass over ``rows`` (doc_id, pos, term) sets a flag for each word and prefix; phrases join on."""
+def intersect(left: DataFrame, right: DataFrame) -> DataFrame:
+    """The postings of ``left`` whose documents ``right`` has."""
+    return left.join(right.select("doc_id").distinct(), "doc_id", "left_semi")
+
+
+def union(left: DataFrame, right: DataFrame) -> DataFrame:
+    """The postings of both, ``left``'s where both have a document."""
+    return left.unionByName(right.join(left.select("doc_id").distinct(), "doc_id", "left_anti"))
+
+
+def difference(left: DataFrame, right: DataFrame) -> DataFrame:
+    return left.join(right.select("doc_id").distinct(), "doc_id", "left_anti")
+
+
+def run(tree: Node | str, index) -> DataFrame:
+    """doc_ids that match. One pass over the postings sets a flag for each word and prefix; phrases join on their words' positions.
+
+    Words and phrases go through the analysis of the index: a word that gives several terms counts with its first. Prefixes are only
+    lowered; they meet the terms as they are in the index. A word without any term matches nothing.
+    """
     tree = parse(tree) if isinstance(tree, str) else tree
+    words_of = analyze if index.stemmed else lambda s: [t.lower() if "://" not in t else t for t, _, _ in raw_spans(s)]
+    docs = index.doc_ids()
     flags: dict[str, Column] = {}
     phrases: dict[str, list[str]] = {}
 
@@ -134,8 +161,8 @@ def run(tree: Node | str, rows: DataFrame, docs: DataFrame, words_of=lambda s: r
         wanted = None
         for c in flags.values():
             wanted = c if wanted is None else wanted | c
-        hit = rows.filter(wanted).groupBy("doc_id").agg(*[F.bool_or(c).alias(n) for n, c in flags.items()])
+        hit = index.postings.select("term", "doc_id").filter(wanted).groupBy("doc_id").agg(*[F.bool_or(c).alias(n) for n, c in flags.items()])
         out = out.join(hit, "doc_id", "left")
     for name, words in phrases.items():
-        out = out.join(phrase(rows, words).withColumn(name, F.lit(True)), "doc_id", "left")
+        out = out.join(phrase(index, words).withColumn(name, F.lit(True)), "doc_id", "left")
     return out.filter(test).select("doc_id")

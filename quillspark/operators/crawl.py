@@ -70,21 +70,60 @@ def resolve(base: Column, rel: Column) -> Column:
     return let(let(url_parts(base), full), normalize_url)
 
 
-def robots_pattern(pattern: str) -> str:
-    """A robots pattern as a regular expression: a prefix, ``*`` for anything, a closing ``$`` for the end."""
-    import re
+def host_key(parts: Column) -> Column:
+    """host, or host:port."""
+    return F.concat_ws(":", parts["host"], parts["port"])
 
-    end = pattern.endswith("$")
-    return "^" + ".*".join(re.escape(p) for p in pattern.rstrip("$").split("*")) + ("$" if end else "")
 
-
-def robots_allowed(paths: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
-    """Adds ``allowed``: the longest matching pattern decides, Allow wins ties, no match allows."""
-    best = F.array_max(F.filter(F.array(*[F.when(F.col("path").rlike(robots_pattern(p)), F.struct(F.lit(len(p)).alias("n"), F.lit(kind == "allow").alias("ok"))) for kind, p in rules]), lambda x: x.isNotNull()))
-    return paths.withColumn("allowed", F.coalesce(best["ok"], F.lit(True)))
+def page_fields(url: Column, html: Column) -> list[Column]:
+    """title, text and links: the absolute, canonical addresses of a page's links, each once, in order."""
+    found = F.array_distinct(F.filter(F.transform(links(html), lambda h: resolve(url, entities(h))), lambda x: x.isNotNull()))
+    return [title(html).alias("title"), visible_text(html).alias("text"), found.alias("links")]
 
 
 def schedule(urls: DataFrame) -> DataFrame:
     """Hosts in turn: (wave, host, url); each wave takes one address of every host, in order of ``seq``."""
     w = Window.partitionBy("host").orderBy("seq")
     return urls.withColumn("wave", F.row_number().over(w))
+
+
+class Frontier:
+    """Addresses to fetch, each once for all time, in the order they came: (url, host, seq, state), state new or done."""
+
+    SCHEMA = "url string, host string, seq long, state string"
+
+    def __init__(self, table: DataFrame):
+        self.table = table
+
+    @classmethod
+    def empty(cls, spark) -> "Frontier":
+        return cls(spark.createDataFrame([], cls.SCHEMA))
+
+    def push(self, urls: DataFrame) -> "Frontier":
+        """With the addresses of (url, seq) that are good and were never seen; of equal ones the least seq counts."""
+        parts = urls.select(normalize_url(F.col("url")).alias("url"), "seq").filter("url IS NOT NULL")
+        new = parts.groupBy("url").agg(F.min("seq").alias("seq")).join(self.table.select("url"), "url", "left_anti")
+        return Frontier(self.table.unionByName(new.select("url", host_key(url_parts(F.col("url"))).alias("host"), "seq", F.lit("new").alias("state"))))
+
+    def pop_polite(self) -> DataFrame:
+        """(url, host, seq): the first waiting address of every host, hosts by their own least seq."""
+        w = Window.partitionBy("host").orderBy("seq", "url")
+        return self.table.filter("state = 'new'").withColumn("r", F.row_number().over(w)).filter("r = 1").select("url", "host", "seq")
+
+    def done(self, urls: DataFrame) -> "Frontier":
+        gone = urls.select("url", F.lit(True).alias("gone"))
+        return Frontier(self.table.join(gone, "url", "left").select("url", "host", "seq", F.when(F.col("gone"), "done").otherwise(F.col("state")).alias("state")))
+
+    def seen_count(self) -> int:
+        return self.table.count()
+
+    def queue_len(self) -> int:
+        return self.table.filter("state = 'new'").count()
+
+    def is_empty(self) -> bool:
+        return self.table.filter("state = 'new'").isEmpty()
+
+
+def next_delay(last: dict[str, float], waiting: set[str], now: float, cooldown: float = 0.5) -> float | None:
+    """Seconds until some waiting host may be asked again; None if nothing waits."""
+    return min((max(0.0, last[h] + cooldown - now) if h in last else 0.0 for h in waiting), default=None)

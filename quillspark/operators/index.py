@@ -1,29 +1,45 @@
-"""The positional inverted index as tables."""
+"""The positional inverted index as tables.
+
+An ``Index`` has postings (term, doc_id, tf, positions), lengths (doc_id, len), field postings (field, term, doc_id, tf) and field
+lengths (field, doc_id, len). Terms are stems unless it is built without. All of a document's tokens are in one row before they are
+grouped, so counting merges them before the shuffle: what moves is one row for each term of a document.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass, field
+from functools import cached_property
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import stem_udf, terms
+from ..functions.text import stems_of, terms
 
+FIELDS = ("title", "body", "anchor")
+_ALIASES = {"title": "title", "body": "body", "text": "body", "content": "body", "anchor": "anchor", "links": "anchor", "inlink": "anchor"}
+POSTINGS = "term string, doc_id long, tf long, positions array<int>"
+LENGTHS = "doc_id long, len long"
+FIELD_POSTINGS = "field string, term string, doc_id long, tf long"
+FIELD_LENGTHS = "field string, doc_id long, len long"
 
-def term_rows(docs: DataFrame, text: str = "text", stemmed: bool = False) -> DataFrame:
-    """(doc_id, pos, term). Stems are made once for each distinct term and joined back."""
-    rows = docs.select("doc_id", F.posexplode(terms(F.col(text))).alias("pos", "term"))
-    if stemmed:
-        stems = rows.select("term").distinct().withColumn("stem", stem_udf("term"))
-        rows = rows.join(stems, "term").select("doc_id", "pos", F.col("stem").alias("term"))
-    return rows
 
+def field_of(name: str) -> str | None:
+    """The field a name stands for, in any case; None for others."""
+    return _ALIASES.get(name.lower())
 
-def postings(docs: DataFrame, text: str = "text", stemmed: bool = False) -> DataFrame:
-    return term_rows(docs, text, stemmed).groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
 
+def analyzed(text: Column, stemmed: bool = True) -> Column:
+    return stems_of(terms(text)) if stemmed else terms(text)
 
-def counts(docs: DataFrame, text: str = "text", stemmed: bool = False) -> DataFrame:
-    return term_rows(docs, text, stemmed).groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
+
+def term_rows(docs: DataFrame, text: str = "text", stemmed: bool = True) -> DataFrame:
+    """(doc_id, pos, term)."""
+    return docs.select("doc_id", analyzed(F.col(text), stemmed).alias("ts")).select("doc_id", F.posexplode("ts").alias("pos", "term"))
+
+
+def postings(docs: DataFrame, text: str = "text", stemmed: bool = True) -> DataFrame:
+    return term_rows(docs, text, stemmed).groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
 
 
 def lengths(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -34,20 +50,99 @@ def fields(docs: DataFrame) -> DataFrame:
     """(doc_id, field, text): the first line as title, the rest as body, the source as anchor text; empty fields are left out."""
     first = F.substring_index("text", "\n", 1)
     rest = F.substring(F.col("text"), F.length(first) + 2, F.length("text"))
-    parts = F.array(*[F.struct(F.lit(n).alias("field"), c.alias("text")) for n, c in (("title", first), ("body", rest), ("anchor", F.col("source")))])
+    return split_fields(docs.select("doc_id", first.alias("title"), rest.alias("body"), F.col("source").alias("anchor")))
+
+
+def split_fields(docs: DataFrame) -> DataFrame:
+    """(doc_id, field, text) of (doc_id, title, body, anchor); empty fields are left out."""
+    parts = F.array(*[F.struct(F.lit(n).alias("field"), F.col(n).alias("text")) for n in FIELDS])
     return docs.select("doc_id", F.inline(parts)).filter(F.length(F.trim("text")) > 0)
 
 
-def field_counts(docs: DataFrame) -> DataFrame:
-    f = fields(docs)
-    return f.select("doc_id", "field", F.explode(terms(F.col("text"))).alias("term")).groupBy("field", "term", "doc_id").agg(F.count("*").alias("tf"))
+def field_counts(rows: DataFrame, stemmed: bool = True) -> DataFrame:
+    """(field, term, doc_id, tf) of (doc_id, field, text)."""
+    return rows.select("doc_id", "field", F.explode(analyzed(F.col("text"), stemmed)).alias("term")).groupBy("field", "term", "doc_id").agg(F.count("*").alias("tf"))
 
 
-def field_lengths(docs: DataFrame) -> DataFrame:
-    return fields(docs).select("doc_id", "field", F.size(terms(F.col("text"))).cast("long").alias("len"))
+def field_lengths(rows: DataFrame) -> DataFrame:
+    return rows.select("doc_id", "field", F.size(terms(F.col("text"))).cast("long").alias("len"))
 
 
 def deltas(rows: DataFrame) -> DataFrame:
     """Gaps between the ascending doc_ids of each term, the first as it is."""
     w = Window.partitionBy("term").orderBy("doc_id")
     return rows.select("term", "doc_id", (F.col("doc_id") - F.coalesce(F.lag("doc_id").over(w), F.lit(0))).alias("gap"))
+
+
+@dataclass
+class Index:
+    postings: DataFrame
+    lengths: DataFrame
+    field_postings: DataFrame | None = None
+    field_lengths: DataFrame | None = None
+    docs: DataFrame | None = field(default=None)
+    stemmed: bool = True
+
+    @classmethod
+    def build(cls, docs: DataFrame, with_fields: DataFrame | None = None, stemmed: bool = True) -> "Index":
+        """Of (doc_id, text), and of (doc_id, field, text) for the fields."""
+        f = with_fields
+        return cls(postings(docs, stemmed=stemmed), lengths(docs), field_counts(f, stemmed) if f is not None else None, field_lengths(f) if f is not None else None, docs, stemmed)
+
+    @classmethod
+    def empty(cls, spark: SparkSession) -> "Index":
+        return cls(*[spark.createDataFrame([], s) for s in (POSTINGS, LENGTHS, FIELD_POSTINGS, FIELD_LENGTHS)])
+
+    @cached_property
+    def vocabulary(self) -> DataFrame:
+        """(term, tf, df)."""
+        return self.postings.groupBy("term").agg(F.sum("tf").alias("tf"), F.count("*").alias("df"))
+
+    @cached_property
+    def stats(self) -> DataFrame:
+        """One row: n documents, their average length (0 without any)."""
+        return self.lengths.agg(F.count("*").cast("double").alias("n"), F.coalesce(F.avg("len"), F.lit(0.0)).alias("avg"))
+
+    @cached_property
+    def field_stats(self) -> DataFrame:
+        """(field, n_docs, avg_len) over the documents that have the field."""
+        return self.field_lengths.groupBy("field").agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"))
+
+    def doc_ids(self) -> DataFrame:
+        return self.lengths.select("doc_id")
+
+    def get_postings(self, term: str) -> DataFrame:
+        return self.postings.filter(F.col("term") == term)
+
+    def document_frequency(self) -> DataFrame:
+        """(term, df): documents that have the term in any field."""
+        return self.field_postings.groupBy("term").agg(F.countDistinct("doc_id").alias("df"))
+
+    def rows(self) -> DataFrame:
+        """(doc_id, pos, term)."""
+        return self.postings.select("doc_id", F.explode("positions").alias("pos"), "term")
+
+    def add(self, docs: DataFrame) -> "Index":
+        """With the new documents of (doc_id, text); ids that are here already are for ``append``."""
+        return Index(self.postings.unionByName(postings(docs, stemmed=self.stemmed)), self.lengths.unionByName(lengths(docs)), self.field_postings, self.field_lengths, None, self.stemmed)
+
+    def append(self, docs: DataFrame) -> "Index":
+        """With more text of documents, one row a document: positions go on where a document's text ended; new ids are added."""
+        base = self.lengths.withColumnRenamed("len", "_base")
+        new = postings(docs, stemmed=self.stemmed).join(base, "doc_id", "left").select(
+            "term", "doc_id", "tf", F.transform("positions", lambda p: p + F.coalesce(F.col("_base"), F.lit(0)).cast("int")).alias("positions"))
+        both = self.postings.unionByName(new).groupBy("term", "doc_id").agg(F.sum("tf").alias("tf"), F.array_sort(F.flatten(F.collect_list("positions"))).alias("positions"))
+        sizes = self.lengths.unionByName(lengths(docs)).groupBy("doc_id").agg(F.sum("len").alias("len"))
+        return Index(both, sizes, self.field_postings, self.field_lengths, None, self.stemmed)
+
+    def add_field(self, name: str, rows: DataFrame) -> "Index":
+        """With the texts of (doc_id, text) in one field; blank ones change nothing, counts of a field a document has already add up."""
+        new = rows.select("doc_id", F.lit(field_of(name)).alias("field"), "text").filter(F.length(F.trim("text")) > 0)
+        counted = self.field_postings.unionByName(field_counts(new, self.stemmed)).groupBy("field", "term", "doc_id").agg(F.sum("tf").alias("tf"))
+        sizes = self.field_lengths.unionByName(field_lengths(new).select("field", "doc_id", "len")).groupBy("field", "doc_id").agg(F.sum("len").alias("len"))
+        return Index(self.postings, self.lengths, counted, sizes, self.docs, self.stemmed)
+
+    def append_anchors(self, links: DataFrame) -> "Index":
+        """With the anchor texts of (doc_id, text), joined by spaces for each target."""
+        joined = links.groupBy("doc_id").agg(F.concat_ws(" ", F.array_sort(F.collect_list("text"))).alias("text"))
+        return self.add_field("anchor", joined)
