@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import remove, saved, shared_dir  # noqa: F401
+
 #: The separators of "words": the ASCII white space only.
 WS = "\\x20\\x09-\\x0D"
 
@@ -23,27 +21,5 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), f"[{WS}]"), lambda w: w != "")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new path in the folder of spark.checkpoint.dir, which all executors can reach."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        base = "file://" + tempfile.mkdtemp(prefix="quillspark-")
-        spark.conf.set("spark.checkpoint.dir", base)
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-
-
-def saved(df: DataFrame) -> DataFrame:
-    """``df`` written as a table in the shared folder and read again: a cut of the lineage that survives lost executors."""
-    path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def local_path(url: str) -> str:
-    """A shared folder's URL as the path that plain file calls take."""
-    return re.sub(r"^file:/*", "/", url)
-
-
 def width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
