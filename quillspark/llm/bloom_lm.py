@@ -1,25 +1,35 @@
 """Language-model scores from a log-frequency Bloom filter of word and word-pair counts.
 
-Counts are quantised to 1 + floor(log2 c); an n-gram is in the filter once for each level up to its own, so that probing
-level after level until one is absent gives its count back. All bits of an n-gram lie in one segment, and each segment
-is built by one task from packed, pre-summed hashes. The filter has at most MAX_BITS bits (64 MB, the bound of what is
-broadcast); where the corpus has more entries than MAX_BITS / LEAST_BITS, word pairs below the least count that fits are
-left to the back-off, as is usual for such models. Exact counts of tokens, which the base score takes, aren't bounded:
-the commonest at most HEAVY words go to the workers, all others meet their counts in a join on the word's 64-bit hash.
+Counts are quantised to powers of two: an n-gram is in the filter once for each level up to 1 + floor(log2 c), so that probing level after
+level until one is absent gives the level back. All bits of an n-gram lie in one segment, and each segment is built by one task from packed,
+pre-summed hashes. The filter has BITS bits an entry, whatever the number of entries: no n-gram is left out. It is one file in the shared
+folder, which the workers of a machine map into memory together; so it costs them page cache and no heap, and its size may grow with
+the corpus up to what a machine's disk holds. Exact counts of tokens, which the base score takes, aren't bounded: the commonest at most
+HEAVY words go to the workers, all others meet their counts in a join on the word's 64-bit hash.
+
+P(w | v) = (low(v w) + THETA P(w)) / (high(v) + THETA) and P(w) = (low(w) + 0.1) / (N + 0.1 (V + 1)): ``low`` is the least and ``high`` the
+greatest count of the level read, both are the count itself for the HEAVY words. The low counts of a word's pairs sum to no more than
+its count, so the probabilities of the words behind a word sum to at most 1, as far as the filter has no false positives (about 3 in 100
+of the pairs that never came, which then count as seen once).
 """
 
 from __future__ import annotations
 
+import os
+import re
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
+from pyspark import SparkFiles, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import saved, shared_dir
 
-MAX_BITS, LEAST_BITS, BITS, PROBES, LEVELS = 1 << 29, 5, 8, 3, 32
+BITS, PROBES, LEVELS = 8, 3, 32
+SEGMENT_BYTES = 1 << 22  # training text of a segment
 HEAVY = 1 << 17
 THETA = 4.0  # weight of the words' own distribution against the pairs
 _U = np.uint64
@@ -55,14 +65,15 @@ def _segment(h: np.ndarray, segments: int) -> np.ndarray:
 
 
 class Filter:
-    """Reads the broadcast bits."""
+    """Reads the bits, from a file that is mapped or from bytes."""
 
-    def __init__(self, bits: bytes, segments: int, segment_bits: int):
-        self.bits, self.segments, self.size = np.frombuffer(bits, np.uint8), segments, segment_bits
+    def __init__(self, bits, segments: int, segment_bits: int):
+        self.bits = np.frombuffer(bits, np.uint8) if isinstance(bits, bytes) else np.memmap(bits, np.uint8, "r")
+        self.segments, self.size = segments, segment_bits
 
-    def counts(self, h: np.ndarray) -> np.ndarray:
-        """The mean of each n-gram's quantised count; 0 if it is absent."""
-        out = np.zeros(len(h))
+    def levels(self, h: np.ndarray) -> np.ndarray:
+        """The level of each n-gram's count; 0 if it is absent."""
+        out = np.zeros(len(h), np.int64)
         on, base = np.arange(len(h)), _segment(h, self.segments) * self.size
         for level in range(1, LEVELS):
             there = np.ones(len(h), bool)
@@ -72,10 +83,44 @@ class Filter:
             h, base, on = h[there], base[there], on[there]
             if not len(h):
                 break
-            out[on] = (1 << (level - 1)) * 1.5 if level > 1 else 1.0
+            out[on] = level
         return out
 
 
+def low(levels: np.ndarray) -> np.ndarray:
+    return np.where(levels > 0, np.exp2(levels - 1.0), 0.0)
+
+
+def high(levels: np.ndarray) -> np.ndarray:
+    return np.exp2(levels) - 1.0
+
+
+@lru_cache(maxsize=1)
+def _mapped(path: str, remote: bool, segments: int, segment_bits: int) -> Filter:
+    return Filter(SparkFiles.get(path) if remote else path, segments, segment_bits)
+
+
+def _publish(spark, parts, size: int) -> tuple[str, bool]:
+    """Writes the segments (number, bits), ``size`` bytes each, to one file; how the workers find it. One segment at a time is here."""
+    path = f"{shared_dir(spark)}.filter"
+    if re.match("file:|/", path):
+        local = re.sub("^file:/*", "/", path)
+        os.makedirs(os.path.dirname(local), exist_ok=True)
+        with open(local, "wb") as f:
+            for number, bits in parts:
+                f.seek(number * size)
+                f.write(bits)
+        return local, False
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark._jsc.hadoopConfiguration()).create(p, True)
+    for _, bits in parts:  # in the order of their numbers
+        out.write(bytearray(bits))
+    out.close()
+    spark.sparkContext.addFile(path)  # executors fetch it once a machine
+    return path.rsplit("/", 1)[1], True
+
+
 def _count_batches(batches, segments: int):
     """Packs the sums of each segment's n-grams: (segment, kind, hashes, counts)."""
     held: dict[int, list] = {0: [], 1: []}
@@ -121,13 +166,14 @@ def _sum_blobs(pdf):
 def score(docs: DataFrame, train, held_out, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Scores all rows by a model of the rows where ``train`` holds; ``held_out`` is passed on.
 
-    Null and empty texts have one token, the end. Repeated rows are scored each. Without any training text all counts
-    are 0 and every probability is 1 / 1.0 of the smoothing.
+    Null and empty texts have one token, the end. Repeated rows are scored each, and each counts in the training. Without any training
+    text all counts are 0, so each token of a text has the same probability, 0.1 / 0.1 = 1. Columns but the two named aren't read.
     """
     spark = docs.sparkSession
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), train.alias("train"), held_out.alias("held_out"))
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    segments = 4 * width
+    size = d.filter("train").agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    segments = max(4 * width, size // SEGMENT_BYTES)
     import pandas as pd
 
     def count(batches):
@@ -145,29 +191,33 @@ def score(docs: DataFrame, train, held_out, id_col: str = "doc_id", text_col: st
     stats = {(r.kind, r.level): (r.n, r.sum) for r in counted.select("kind", F.posexplode("levels").alias("level", "x"), F.when(F.col("level") == 0, F.col("sum")).alias("sum")).groupBy("kind", "level").agg(F.sum("x").alias("n"), F.sum("sum").alias("sum")).collect()}
     N = int(stats.get((0, 0), (0, 0))[1] or 0)
     V = sum(n for (k, _), (n, _) in stats.items() if k == 0)
-    entries = lambda floor: sum((lv - (floor if k else 0) + 1) * n for (k, lv), (n, _) in stats.items() if lv >= (floor if k else 0))
-    floor = 0  # word pairs need a count of 2**floor
-    while entries(floor) > MAX_BITS // LEAST_BITS:
-        floor += 1
-    want = max(1024, min(MAX_BITS, BITS * entries(floor)) // segments)
-    seg_bits = 1 << (want - 1).bit_length()
-    if seg_bits * segments > MAX_BITS:
-        seg_bits >>= 1
+    entries = sum((lv + 1) * n for (_, lv), (n, _) in stats.items())
+    seg_bits = 1 << (max(1024, BITS * entries // segments) - 1).bit_length()
 
     def build(key, pdf):
         bits = np.zeros(seg_bits, bool)
         for kind, hb, cb in zip(pdf["kind"], pdf["h"], pdf["c"]):
             h, lv = np.frombuffer(hb, _U), np.log2(np.frombuffer(cb, "<i8")).astype(int)
-            low = floor if kind else 0
-            for level in range(low, int(lv.max(initial=-1)) + 1):
-                for p in _positions(h[lv >= level], level - low + 1, seg_bits - 1):
+            for level in range(int(lv.max(initial=-1)) + 1):
+                for p in _positions(h[lv >= level], level + 1, seg_bits - 1):
                     bits[p] = True
         return pd.DataFrame({"segment": [key[0]], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
 
     built = counted.select("segment", "kind", "h", "c").repartition(width, "segment").groupBy("segment").applyInPandas(build, "segment int, bits binary")
-    bits = bytearray(segments * seg_bits // 8)
-    for r in built.toLocalIterator():
-        bits[r.segment * seg_bits // 8 : (r.segment + 1) * seg_bits // 8] = r.bits
+    built = saved(built).orderBy("segment")
+    empty = b"\0" * (seg_bits // 8)
+
+    def parts():
+        at = 0
+        for r in built.toLocalIterator():
+            for k in range(at, r.segment):  # segments without an n-gram
+                yield k, empty
+            yield r.segment, r.bits
+            at = r.segment + 1
+        for k in range(at, segments):
+            yield k, empty
+
+    place = _publish(spark, parts(), seg_bits // 8)
     heavy_level = 31
     while heavy_level > 0 and sum(n for (k, lv), (n, _) in stats.items() if k == 0 and lv >= heavy_level - 1) <= HEAVY:
         heavy_level -= 1
@@ -185,14 +235,16 @@ def score(docs: DataFrame, train, held_out, id_col: str = "doc_id", text_col: st
     heavy = words.mapInArrow(unpack(1 << heavy_level), "h long, c long").toArrow()
     hh, hc = heavy.column(0).to_numpy().view(_U), heavy.column(1).to_numpy()
     order = np.argsort(hh)
-    shared = spark.sparkContext.broadcast((bytes(bits), hh[order].tobytes(), hc[order].tobytes()))
-    del bits, heavy
+    shared = spark.sparkContext.broadcast((hh[order].tobytes(), hc[order].tobytes()))  # at most HEAVY words
+    del heavy
     rest = N + 0.1 * (V + 1)
 
     def run(batches):
-        raw, hb, cb = shared.value
-        f = Filter(raw, segments, seg_bits)
+        hb, cb = shared.value
+        f = _mapped(*place, segments, seg_bits)
         keys, counts = np.frombuffer(hb, _U), np.frombuffer(cb, np.int64)
+        at = int(np.searchsorted(keys, _U(END)))
+        end = float(counts[at]) if at < len(keys) and keys[at] == END else float(high(f.levels(np.array([END], _U)))[0])
         task, row = TaskContext.get().partitionId() << 40, 0
         for b in batches:
             for at in range(0, b.num_rows, 500):
@@ -202,16 +254,17 @@ def score(docs: DataFrame, train, held_out, id_col: str = "doc_id", text_col: st
                 x = np.concatenate(toks)
                 first = np.r_[0, np.cumsum(size)[:-1]]
                 u, inv = np.unique(x, return_inverse=True)
-                cu = f.counts(u)
-                own = cu[inv]
-                before = np.r_[own[:1], own[:-1]]
-                before[first] = f.counts(np.array([END], _U))[0]
-                pair = np.minimum(f.counts(pair_hashes(x, first)) * (1 << floor), before)
-                p = (pair + THETA * (own + 0.1) / rest) / (before + THETA)
-                lm = np.add.reduceat(np.log10(p), first)
                 spot = np.minimum(np.searchsorted(keys, u), max(0, len(keys) - 1))
                 is_heavy = keys[spot] == u if len(keys) else np.zeros(len(u), bool)
                 exact = np.where(is_heavy, counts[spot], 0) if len(keys) else np.zeros(len(u), np.int64)
+                lv = f.levels(u)
+                own = np.where(is_heavy, exact, low(lv))[inv]
+                most = np.where(is_heavy, exact, high(lv))[inv]
+                before = np.r_[most[:1], most[:-1]]
+                before[first] = end
+                pair = np.minimum(low(f.levels(pair_hashes(x, first))), before)
+                p = (pair + THETA * (own + 0.1) / rest) / (before + THETA)
+                lm = np.add.reduceat(np.log10(p), first)
                 known = is_heavy[inv]
                 base = np.add.reduceat(np.where(known, np.log10((exact[inv] + 0.1) / rest), 0), first)
                 rare = [t[~k].view(np.int64) for t, k in zip(np.split(x, first[1:]), np.split(known, first[1:]))]

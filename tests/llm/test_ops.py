@@ -177,6 +177,29 @@ def test_bloom_lm(docs, empty):
     assert bloom_lm.score(empty, train=F.lit(True), held_out=F.lit(False)).count() == 0
 
 
+def test_bloom_lm_probabilities(spark):
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{min(int(k), 12)}" for k in rng.zipf(1.5, 30)) for _ in range(40)]
+    words = sorted({w for t in texts for w in t.split()})
+    toks = [[*t.split(), ""] for t in texts]
+    c = Counter(w for t in toks for w in t)
+    pairs = Counter(p for t in toks for p in zip(["", *t], t))
+    n, v = sum(c.values()), len(c)
+    ask = [a for a in words] + [f"{a} {b}" for a in words for b in words]
+    d = spark.createDataFrame([(i, t, True) for i, t in enumerate(texts)] + [(1000 + i, t, False) for i, t in enumerate(ask)], "doc_id long, text string, tr boolean")
+    got = {r.doc_id: r.score for r in bloom_lm.score(d, train=F.col("tr"), held_out=~F.col("tr")).collect()}
+
+    def p(b, a):
+        lower = 2 ** (pairs[a, b].bit_length() - 1) if pairs[a, b] else 0
+        return (lower + bloom_lm.THETA * (c[b] + 0.1) / (n + 0.1 * (v + 1))) / (c[a] + bloom_lm.THETA)
+
+    want = [sum(np.log10(p(b, a)) for a, b in zip(["", *t.split()], [*t.split(), ""])) for t in texts + ask]
+    close = [abs(got[i if i < len(texts) else 1000 + i - len(texts)] - w) < 1e-9 for i, w in enumerate(want)]
+    assert np.mean(close) > 0.8  # the rest met a false positive of the filter, which can only raise a score
+    assert all(got[1000 + i] >= w - 1e-9 for i, w in enumerate(want[len(texts):]))
+    assert all(sum(p(b, a) for b in [*words, ""]) <= 1 for a in [*words, ""])
+
+
 def test_toxicity(spark):
     rows = [(i, f"calm words number {i} here. you are a stupid idiot now. more" if i % 3 == 0 else f"calm words number {i} here. you are a good friend now.", int(i % 3 == 0)) for i in range(90)]
     d = spark.createDataFrame([(a, b) for a, b, _ in rows] + [(900, None), (901, "")], "doc_id long, text string")
