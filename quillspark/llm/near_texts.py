@@ -61,24 +61,18 @@ def groups(texts: DataFrame) -> DataFrame:
     return components(pairs(own, LEAST - SURE).select(F.col("a").alias("u"), F.col("b").alias("v")))
 
 
-def verified(texts: DataFrame) -> DataFrame:
-    """Pairs a < b of the distinct texts of (node, text) whose Jaccard index, over all shingles, is LEAST or more."""
+def verified(texts: DataFrame, more: DataFrame | None = None, least: float = LEAST) -> DataFrame:
+    """Pairs a < b of the distinct texts of (node, text) whose Jaccard index, over all shingles, is ``least`` or more.
+
+    Candidates are the pairs that meet in a band, and those of ``more`` (a, b).
+    """
     own = saved(texts.select("node", sketch(F.col("text")).alias("sk")).groupBy("node").agg(F.first("sk").alias("sk")))
-    met = saved(pairs(own, LEAST - 2 * SURE, 2 * BANDS))
+    met = pairs(own, least - 2 * SURE, 2 * BANDS)
+    if more is not None:
+        met = met.unionByName(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b")).distinct()
+    met = saved(met)
     ends = met.select(F.col("a").alias("node")).unionByName(met.select(F.col("b").alias("node"))).distinct()
     full = saved(texts.join(ends, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")).select("node", shingles(F.col("text")).alias("s")))
     both = met.join(full.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(full.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb"))
-    return both.filter(common >= LEAST * (F.size("sa") + F.size("sb") - common)).select("a", "b")
-
-
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The row of least id of each group of near copies, with the columns of the input; rows without an id stay.
-
-    Equal texts are one node, so groups of copies form no pairs; texts without words are near to equal ones only.
-    """
-    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("node", text_key(F.col("text")))
-    roots = components(saved(verified(own.select("node", "text"))).select(F.col("a").alias("u"), F.col("b").alias("v")))
-    placed = own.select("id", "node").join(roots, "node", "left").select("id", F.coalesce("root", "node").alias("root"))
-    kept = placed.groupBy("root").agg(F.min("id").alias(id_col)).filter(F.col(id_col).isNotNull()).select(id_col)
-    return docs.filter(F.col(id_col).isNull()).unionByName(docs.join(kept, id_col, "left_semi").select(docs.columns))
+    return both.filter((F.size("sa") > 0) & (F.size("sb") > 0) & (common >= least * (F.size("sa") + F.size("sb") - common))).select("a", "b")

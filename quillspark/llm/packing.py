@@ -14,6 +14,7 @@ from .common import saved
 from .unit_cache import encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+KEEP = 4  # bins of each fill over a half that a task passes on
 STATE = PIECES + ", bin long, offset long, fill long, done boolean"
 
 
@@ -63,7 +64,7 @@ def best_fit(sizes: np.ndarray, capacity: int) -> np.ndarray:
     return out
 
 
-def _merge(pdf: pd.DataFrame, base: int, capacity: int, slack: int) -> pd.DataFrame:
+def _merge(pdf: pd.DataFrame, base: int, capacity: int, slack: int, keep: int) -> pd.DataFrame:
     """One task's round: its bins are the items; pieces move with their bin."""
     pdf = pdf.sort_values(["bin", "offset"], kind="stable", ignore_index=True)
     first = np.flatnonzero(np.r_[True, np.diff(pdf["bin"].to_numpy()) != 0])
@@ -79,24 +80,32 @@ def _merge(pdf: pd.DataFrame, base: int, capacity: int, slack: int) -> pd.DataFr
     pdf["offset"] = pdf["offset"].to_numpy() + start[item]
     pdf["bin"] = base + to[item]
     pdf["fill"] = total[to[item]]
-    pdf["done"] = pdf["fill"] >= capacity - slack
+    gone = total >= capacity - slack
+    if keep:
+        by = np.argsort(total, kind="stable")
+        first = np.r_[True, np.diff(total[by]) != 0]
+        rank = np.arange(len(by)) - np.flatnonzero(first)[np.cumsum(first) - 1]
+        gone[by[rank >= keep]] |= total[by[rank >= keep]] > capacity // 2
+    pdf["done"] = gone[to[item]]
     return pdf
 
 
-def _round(base: int, capacity: int, slack: int):
+def _round(base: int, capacity: int, slack: int, keep: int):
     def run(key, pdf):
-        return _merge(pdf.drop(columns="task"), base | int(key[0]) << 32, capacity, slack)
+        return _merge(pdf.drop(columns="task"), base | int(key[0]) << 32, capacity, slack, keep)
 
     return run
 
 
-def pack(items: DataFrame, capacity: int = 2048, slack: int = 2, per_task: int = 50_000, fan_in: int = 8) -> DataFrame:
+def pack(items: DataFrame, capacity: int = 2048, slack: int = 2, per_task: int = 50_000) -> DataFrame:
     """items: PIECES, lengths 1 to capacity. Adds sequence_id and offset.
 
     Every round spreads the open bins over tasks of about ``per_task`` bins by a hash of their number, packs each task's
-    bins by best fit and lets bins within ``slack`` of full go. The tasks shrink by ``fan_in`` until one is left, or
-    until a round saves under 1 % of the bins, as when all pieces are over half a bin: no task ever holds more than
-    about ``per_task`` bins, and no bin is left out. An empty table gives an empty one.
+    bins by best fit and lets bins go that are within ``slack`` of full. Best fit leaves a task with hardly a bin that is at most half
+    full, and a fuller bin can only take one of those. So each task keeps KEEP bins of each fill over a half, more than the small
+    bins of all tasks need, and lets the others go, as well as bins that not even the least filled one fits into. What a task passes
+    on is thereby at most KEEP * capacity / 2 bins and the small ones, the next round has a fraction of the tasks, and the last one
+    merges all that is left. No piece is left out. An empty table gives an empty one.
     """
     spark = items.sparkSession
     rest = saved(items).select("*", F.monotonically_increasing_id().alias("bin"), F.lit(0).cast("long").alias("offset"), F.col("length").alias("fill"), F.lit(False).alias("done"))
@@ -105,14 +114,19 @@ def pack(items: DataFrame, capacity: int = 2048, slack: int = 2, per_task: int =
     finished, level = [], 1
     while True:
         at = F.pmod(F.xxhash64("bin", F.lit(level)), F.lit(tasks)).cast("int")
-        out = saved(rest.withColumn("task", at).repartition(max(1, min(tasks, 4096)), "task").groupBy("task").applyInPandas(_round(level << 56, capacity, slack), STATE))
-        left = out.filter(~F.col("done") & (F.col("offset") == 0)).count()
-        if tasks == 1 or left > 0.99 * bins:
+        out = saved(rest.withColumn("task", at).repartition(max(1, min(tasks, 4096)), "task").groupBy("task").applyInPandas(_round(level << 56, capacity, slack, KEEP if tasks > 1 else 0), STATE))
+        open_ = out.filter(~F.col("done"))
+        least = open_.agg(F.min("fill")).first()[0]
+        if tasks == 1 or least is None:
             finished.append(out)
             break
-        finished.append(out.filter("done"))
-        rest, bins = out.filter(~F.col("done")), left
-        tasks = max(1, -(-left // per_task), -(-tasks // fan_in) if left > per_task else 1)
+        full = F.col("done") | (F.col("fill") + least > capacity)
+        finished.append(out.filter(full))
+        rest = out.filter(~full)
+        left, pieces_left = rest.agg(F.count(F.when(F.col("offset") == 0, 1)), F.count("*")).first()
+        if not left:
+            break
+        tasks = max(1, min(-(-tasks // 2), max(-(-left // per_task), -(-pieces_left // (16 * per_task)))))
         level += 1
     done = finished[0]
     for x in finished[1:]:

@@ -70,9 +70,14 @@ def _sums(fps: DataFrame, rows_of, names: str) -> dict:
     return {(r.a, r.b): r.n for r in fps.select("fp").mapInArrow(run, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).collect()}
 
 
+CHUNK = 1 << 16  # fingerprints whose bits are unpacked at once
+
+
 def _both(fp: np.ndarray):
-    m = _bits(fp).astype(np.float32)
-    c = m.T @ m
+    c = np.zeros((64, 64))
+    for i in range(0, len(fp), CHUNK):
+        m = _bits(fp[i : i + CHUNK]).astype(np.float32)
+        c += m.T @ m  # whole numbers below 2**24 in each product
     return [(i, j, int(c[i, j])) for i in range(64) for j in range(i, 64)] + [(64, 64, len(fp))]
 
 
@@ -120,12 +125,14 @@ def plan(fps: DataFrame, tau: int) -> list[tuple[list[int], int]]:
     flat = [g for gs in choices for g in gs]
 
     def near(fp):
-        m, rng, rows = _bits(fp), np.random.default_rng(1), []
+        rng = np.random.default_rng(1)
         count = np.zeros((len(flat), tau + 1), np.int64)
-        for _ in range(4):  # each fingerprint against four others
-            x = m ^ m[rng.permutation(len(m))]
-            for k, g in enumerate(flat):
-                count[k] += np.bincount(np.minimum(x[:, g].sum(1), tau + 1), minlength=tau + 2)[: tau + 1]
+        for i in range(0, len(fp), CHUNK):
+            m = _bits(fp[i : i + CHUNK])
+            for _ in range(4):  # each fingerprint against four others
+                x = m ^ m[rng.permutation(len(m))]
+                for k, g in enumerate(flat):
+                    count[k] += np.bincount(np.minimum(x[:, g].sum(1), tau + 1), minlength=tau + 2)[: tau + 1]
         rows = [(k, t, int(count[k, t])) for k in range(len(flat)) for t in range(tau + 1)]
         return [*rows, (-1, -1, 4 * len(fp))]
 
@@ -198,7 +205,31 @@ def near_duplicates(docs: DataFrame, tau: int = 4, id_col: str = "doc_id", text_
     return own.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, tau: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows whose doc_id names their component, with the columns of the input; rows without an id stay."""
-    kept = near_duplicates(docs, tau, id_col, text_col).filter("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.filter(F.col(id_col).isNull()).unionByName(docs.join(kept, id_col, "left_semi").select(docs.columns))
+def keep_one(docs: DataFrame, tau: int = 6, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
+    """One row of each group of near copies, the one of least id, with the columns of the input.
+
+    Texts are near copies if the Jaccard index of their sets of ``shingle``-word runs is ``least`` or more, and by what such pairs link.
+    Pairs come from the pigeonhole search: texts of equal fingerprints and of fingerprints within ``tau`` bits. At an index of 0.8
+    fingerprints may differ in 13 bits and more, where a search of 64 bits would meet a large share of all pairs; the bands of minima of
+    ``near_texts`` complete the candidates there. Every pair is verified on all shingles, so no other text goes. Equal texts are one
+    node: groups of copies form no pairs. Texts without words are near to equal ones only. Rows of a group that all lack an id leave
+    one; of repeated rows one stays.
+    """
+    from . import near_texts
+
+    idc, text = F.col(id_col), F.col(text_col)
+    node = near_texts.text_key(text)
+    texts = docs.select(node.alias("node"), text.alias("text"))
+    marked = saved(fingerprints(docs.select(F.struct(idc.alias("id"), node.alias("node")).alias("k"), text.alias("text")), "k", "text", shingle).select("doc_id.id", "doc_id.node", "fp"))
+    by_fp = saved(marked.groupBy("fp").agg(F.min("node").alias("rep")))
+    within = marked.join(by_fp, "fp").filter("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b")).distinct()
+    across = links(by_fp.select("fp"), tau)
+    across = across.join(by_fp.select(F.col("fp").alias("a"), F.col("rep").alias("x")), "a").join(by_fp.select(F.col("fp").alias("b"), F.col("rep").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    near = saved(near_texts.verified(texts, within.unionByName(across), least))
+    roots = components(near.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    placed = marked.groupBy("id", "node").agg(F.count("*").alias("n")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    best = placed.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node", "n")).alias("m"))
+    kept = saved(best.select(F.col("m.id").alias("_id"), F.col("m.node").alias("_node"), F.col("m.n").alias("_n")))
+    pick = lambda rows: docs.join(rows, idc.eqNullSafe(F.col("_id")) & (node == F.col("_node")), "left_semi")
+    twice = kept.filter("_n > 1")
+    return pick(kept.filter("_n = 1")).unionByName(pick(twice).dropDuplicates([id_col, text_col]))

@@ -122,6 +122,22 @@ def test_packing(docs, empty):
     assert packing.pack_documents(empty, path).count() == 0
 
 
+def test_packing_tree(spark):
+    rng = np.random.default_rng(1)
+    sizes = np.r_[rng.integers(1, 90, 3000), rng.integers(90, 101, 500), np.full(300, 51)]
+    items = spark.createDataFrame([(i, 0, 0, int(n), 0) for i, n in enumerate(sizes)], packing.PIECES)
+    for per_task in (100, 10_000):
+        rows = packing.pack(items, capacity=100, per_task=per_task).collect()
+        assert sorted(r.doc_id for r in rows) == list(range(len(sizes)))
+        bins = defaultdict(list)
+        for r in rows:
+            bins[r.sequence_id].append((r.offset, r.length))
+        for b in bins.values():
+            b.sort()
+            assert all(o == sum(n for _, n in b[:k]) for k, (o, _) in enumerate(b)) and sum(n for _, n in b) <= 100
+        assert len(bins) <= 1.02 * len(set(packing.best_fit(sizes, 100).tolist()))
+
+
 def test_simhash(docs, empty):
     rows = simhash.near_duplicates(docs, tau=4).collect()
     fp = {r.doc_id: r.fp & (2**64 - 1) for r in rows}
@@ -133,7 +149,26 @@ def test_simhash(docs, empty):
                     root[a] = root[b] = min(root[a], root[b])
     assert {r.doc_id: r.component_id for r in rows} == root and fp[0] == fp[1] == 0
     assert simhash.near_duplicates(empty).count() == 0
-    assert sorted({r.doc_id for r in simhash.keep_one(docs).collect()}) == sorted(set(root.values()))
+
+
+def test_simhash_keep_one(docs, empty):
+    def grams(t):
+        w = (t or "").lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    root = dict(enumerate(range(len(rows))))
+    for _ in rows:
+        for i, (_, a) in enumerate(rows):
+            for j, (_, b) in enumerate(rows):
+                ga, gb = grams(a), grams(b)
+                if (a or "") == (b or "") or ga and gb and len(ga & gb) >= 0.8 * len(ga | gb):
+                    root[i] = root[j] = min(root[i], root[j])
+    got = simhash.keep_one(docs)
+    assert sorted(r.doc_id for r in got.collect()) == sorted(min(rows[i][0] for i in root if root[i] == k) for k in set(root.values()))
+    assert got.columns == docs.columns and simhash.keep_one(empty).count() == 0
+    same = docs.select(F.lit(None).cast("long").alias("doc_id"), F.lit("equal words in all of these rows").alias("text"))
+    assert simhash.keep_one(same).count() == 1
 
 
 def test_line_spread(spark, empty):
@@ -219,8 +254,7 @@ def test_line_spread_copied_text(spark):
     d = spark.createDataFrame(rows, "doc_id long, text string, source string")
     got = {r.doc_id: r.text for r in line_dedup.remove(d).collect()}
     assert got == {i: t.replace("\n" + line, "") for i, t, _ in rows}
-    from quillspark.llm import near_texts
-    assert [r.text for r in near_texts.keep_one(line_dedup.remove(d)).orderBy("doc_id").collect()] == own
+    assert [r.text for r in simhash.keep_one(line_dedup.remove(d)).orderBy("doc_id").collect()] == own
 
 
 def test_pipeline_near_copies(spark):
