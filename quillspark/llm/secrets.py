@@ -9,29 +9,47 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import STOP_WORDS
 from .common import let
 
-FEATURES = ("length", "transitions", "digits", "dictionary", "path", "keyword", "placeholder", "prefix", "distinct")
+FEATURES = ("length", "transitions", "digits", "dictionary", "path", "keyword", "placeholder", "prefix", "distinct", "symbols", "url")
 TREES, DEPTH, SEED = 15, 5, 11
 CUT = 0.5
 MASK = "[SECRET]"
-_KEY = "(?i)(pass(word|wd)?|pwd|secret|token|api_?key|auth|credential|private)"
-_CANDIDATE = "[A-Za-z0-9+/_=.:\\\\-]{12,}"
-_WORDS = "(tion|ment|ing|the|and|der|die|ung|ent|est|ere|with|from|that|this|your|name|test|example|change|user|admin|index|page|image|data|file|http|www|com|org|net|heit|keit|lich|que|eau|les|des|ado|con|los|por)"
+_KEY = "(?i)(pass(word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credential|private)"
+_NAMED = "(?i)(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credential|private)[A-Za-z0-9_-]*[\"']?[=:][\"']?([^\\s\"',;&<>]{6,})"
+_IN_URL = "://[^/:@]+:([^/@]{3,})@"
+_BARE = "[A-Za-z0-9+/_-]{12,}(?:\\.[A-Za-z0-9+/_-]{12,})*={0,2}"
+_LEAD = "(?i)(pass(word|wd|phrase)?|pwd|secret|token|key|auth|credentials?)[\"']?\\s*[=:]$"
+_WORDS = "(?:" + "|".join(sorted({w for w in STOP_WORDS if len(w) > 3} | set(
+    "tion ment ing the and der die ung ent est ere this your name test example change user admin index page image data file http www com org net heit keit lich que eau les des ado con los por correct horse battery staple".split()), key=lambda w: (-len(w), w))) + ")"
 
 
 def candidates(text: Column) -> Column:
-    """Array of (value, before, key): quoted or bare values of 12 or more characters with a digit or a mix of cases, and what precedes them.
+    """Array of (value, before, word): all that might be a secret, and what precedes it.
 
-    A value of ``name=value`` and ``name:value`` is what follows the sign. Words are split at white space; nothing is capped.
+    A text is split at white space. In each word these are taken: what follows a telling name and ``=`` or ``:``, in quotes or not, with any
+    symbols, up to six times a name; the password of a URL; bare runs of 12 characters and more with a digit beside letters or with capitals
+    inside; and the whole of a word behind a telling name that ends in ``=`` or ``:``. Nothing is capped; the forest sorts out what is none.
     """
-    words = F.split(F.coalesce(text, F.lit("")), "[ \\t\\n\\r]+")
-    value = lambda w: F.regexp_extract(w, "^[^A-Za-z0-9/+]*(?:[A-Za-z_]{2,30}[=:][\"']?)?([A-Za-z0-9+/_.\\-]{12,}={0,2})[^A-Za-z0-9]*$", 1)
-    plausible = lambda w: (F.length(w) >= 12) & w.rlike("[0-9]") & w.rlike(_CANDIDATE)
-    some = lambda ws: F.filter(F.transform(ws, lambda w, i: F.when(plausible(w), F.struct(
-        F.rtrim(value(w), F.lit(".")).alias("value"),
-        F.concat_ws(" ", F.coalesce(F.get(ws, i - 2), F.lit("")), F.coalesce(F.get(ws, i - 1), F.lit("")), F.regexp_extract(w, "^[^A-Za-z0-9/+]*([A-Za-z_]{2,30})[=:]", 1)).alias("before"),
-        w.alias("word")))), lambda c: c.isNotNull() & (c["value"] != ""))
+    words = F.split(F.coalesce(text, F.lit("")), "[ \\t\\n\\r\\x0b\\x0c]+")
+    prev = lambda ws, i, k: F.coalesce(F.get(ws, i - k), F.lit(""))
+    tidy = lambda v: F.regexp_replace(v, "^[\"'(\\[{<]+|[\"')\\]}>,;.]+$", "")
+
+    def of(w: Column, lead: Column) -> Column:
+        named = F.regexp_extract_all(w, F.lit(_NAMED), F.lit(1))
+        bare = F.filter(F.regexp_extract_all(w, F.lit(_BARE), F.lit(0)), lambda v: (v.rlike("[0-9]") & v.rlike("[A-Za-z]")) | v.rlike("[a-z][A-Z]"))
+        whole = F.filter(F.array(tidy(w)), lambda v: lead & (F.length(v) >= 6))
+        first = F.transform(F.concat(named, F.regexp_extract_all(w, F.lit(_IN_URL), F.lit(1)), whole), tidy)
+        return let(first, lambda f: F.array_distinct(F.concat(f, F.filter(bare, lambda v: ~F.exists(f, lambda x: F.contains(x, v))))))
+
+    def some(ws: Column) -> Column:
+        lead = lambda i: (prev(ws, i, 1).rlike(_LEAD)) | (prev(ws, i, 1).isin("=", ":") & F.concat(prev(ws, i, 2), F.lit("=")).rlike(_LEAD))
+        worth = lambda w: (F.length(w) >= 12) & w.rlike("[0-9=:@]|[a-z][A-Z]")
+        found = F.transform(ws, lambda w, i: let(lead(i), lambda led: F.when(worth(w) | (led & (F.length(w) >= 6)), F.transform(of(w, led), lambda v: F.struct(
+            v.alias("value"), F.concat_ws(" ", prev(ws, i, 2), prev(ws, i, 1), F.regexp_extract(w, "([A-Za-z0-9_-]{2,40})[\"']?[=:]", 1)).alias("before"), w.alias("word"))))))
+        return F.filter(F.flatten(F.filter(found, lambda x: x.isNotNull())), lambda c: c["value"] != "")
+
     return let(words, some)
 
 
@@ -50,6 +68,8 @@ def features(value: Column, before: Column, word: Column) -> Column:
         value.rlike("(?i)(example|placeholder|your|change|dummy|sample|x{4}|0{6}|1234567|abcdef12|test)").cast("double"),
         value.rlike("^(AKIA|ASIA)[0-9A-Z]{16}$|^gh[pousr]_|^sk_(live|test)_|^xox[abp]-|^eyJ").cast("double"),
         (F.size(F.array_distinct(F.split(value, ""))) / n).cast("double"),
+        (F.length(F.regexp_replace(value, "[A-Za-z0-9]", "")) / n).cast("double"),
+        word.rlike("://[^/:@]+:[^/@]+@").cast("double"),
     )
 
 
@@ -70,6 +90,12 @@ def labelled_findings(spark: SparkSession, n: int = 3000) -> DataFrame:
         (1, hex_("b", 32, 40), pick("bb", "token = ", "my token:", "auth_token = ", "api_key = ")),
         (1, hex_("c", 16, 24), pick("cb", "use it password", "the a passwd", "und pwd", "que la secret")),
         (1, mixed("d", 32), pick("db", "secret = ", "api_key: ", "private key ", "token = ")),
+        (1, F.concat(F.initcap(pick("p1", "correct", "purple", "winter", "silver", "hidden")), F.initcap(pick("p2", "horse", "garden", "monkey", "castle", "rocket")), F.initcap(pick("p3", "battery", "staple", "engine", "lantern", "pickle"))), pick("pb", "my password password", "set passwd passwd", "is secret: ", "the pwd pwd")),
+        (1, F.concat(mixed("q", 4), pick("q1", "!", "$", "#", "@", "!!"), mixed("q2", 3), pick("q3", "$", "%", "^", "*", "#"), hex_("q", 1, 4)), pick("qb", "the password: ", "use passwd", "= secret", "pwd = ")),
+        (0, pick("r", "something", "whatever", "required", "returned", "expired", "service", "information", "nothing", "missing", "however"), pick("rb", "the token: ", "a password: ", "my secret: ", "auth: ", "api key: ")),
+        (0, F.concat(pick("s1", "return", "valid", "user", "first", "last"), pick("s2", "Name", "Token", "Value", "Index", "Count")), pick("sb", "the token: ", "call it ", "auth = ", "in the ")),
+        (0, F.concat(pick("t1", "get", "make", "load", "parse"), pick("t2", "UserName", "PageIndex", "ImageData", "FileList"), pick("t3", "FromFile", "ByName", "ForTest")), pick("tb", "call the ", "use it ", "of a ")),
+        (0, F.substring(F.regexp_replace(h("u"), "[a-f]", "7"), 1, 12), pick("ub", "id is ", "key: ", "number ", "phone ")),
         (1, F.concat(F.lit("ghp_"), mixed("e", 36)), pick("eb", "push with ", "export it ", "token = ")),
         (0, hex_("f", 32, 40), pick("fb", "commit is ", "sha256 of ", "see revision ", "hash file ")),
         (0, F.concat(F.lit("/usr/"), pick("g1", "lib", "share", "local"), F.lit("/python3."), hex_("g", 2, 2), F.lit("/site.py")), pick("gb", "in the ", "file at ", "token of ")),
@@ -81,7 +107,7 @@ def labelled_findings(spark: SparkSession, n: int = 3000) -> DataFrame:
     ]
     rows = None
     for k, (label, value, before) in enumerate(kinds):
-        r = spark.range(k, n, len(kinds)).withColumnRenamed("id", "i").select(value.alias("value"), before.alias("before"), value.alias("word"), F.lit(label).cast("double").alias("label"))
+        r = spark.range(k, n, len(kinds)).withColumnRenamed("id", "i").select(value.alias("value"), before.alias("before"), F.when(F.lit(label == 1) & (F.col("i") % 9 == 0), F.concat(F.lit("db://user:"), value, F.lit("@host/x"))).otherwise(value).alias("word"), F.lit(label).cast("double").alias("label"))
         rows = r if rows is None else rows.unionByName(r)
     return rows.coalesce(1)
 
