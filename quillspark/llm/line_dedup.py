@@ -60,18 +60,20 @@ def boilerplate(docs: DataFrame, site_col: str = "source", text_col: str = "text
 def remove(docs: DataFrame, id_col: str = "doc_id", site_col: str = "source", text_col: str = "text", least_sites: int = LEAST_SITES, n_chars_col: str | None = None, removed_col: str | None = None) -> DataFrame:
     """The rows with boilerplate lines cut from their texts.
 
-    Texts without such a line are unchanged, null and empty texts too; a text may end empty. A null source is a site of its own.
+    Texts without such a line are unchanged, null and empty texts too; a text may end empty. Null sources are one site, that of empty ones.
     Rows of the same doc_id lose the lines that any of them has among the boilerplate, as keys go by doc_id; a null doc_id's text stays.
     ``removed_col`` adds the number of lines cut, ``n_chars_col`` names a column to set to the new length. No other column is read or changed.
     """
     bad = boilerplate(docs, site_col, text_col, least_sites)
     held = docs.select(F.col(id_col).alias("__id"), F.explode(F.array_distinct(F.transform(_lines(F.col(text_col)), line_key))).alias("key"))
     by_doc = held.join(bad.select("key"), "key").groupBy("__id").agg(F.collect_set("key").alias("__bad"))
-    joined = docs.join(by_doc, docs[id_col] == by_doc["__id"], "left")
-    parts = F.split(F.col(text_col), "\n")
-    kept = F.filter(parts, lambda x: (F.length(x) < LEAST_CHARS) | ~F.array_contains(F.col("__bad"), line_key(x)))
-    text = F.when(F.col("__bad").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
-    cols = [text.alias(c) if c == text_col else F.when(F.col("__bad").isNull(), F.col(c)).otherwise(F.length(text)).cast(docs.schema[c].dataType).alias(c) if c == n_chars_col else F.col(c) for c in docs.columns]
+    bad, key = (next(n for n in (f"{x}{k}" for k in range(len(docs.columns) + 1)) if n not in docs.columns) for x in ("bad", "id"))
+    by_doc = by_doc.select(F.col("__id").alias(key), F.col("__bad").alias(bad))
+    joined = docs.join(by_doc, docs[id_col] == by_doc[key], "left")
+    parts, cut = F.split(F.col(text_col), "\n"), F.col(bad)
+    kept = F.filter(parts, lambda x: (F.length(x) < LEAST_CHARS) | ~F.array_contains(cut, line_key(x)))
+    text = F.when(cut.isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
+    cols = [text.alias(c) if c == text_col else F.when(cut.isNull(), F.col(c)).otherwise(F.length(text)).cast(docs.schema[c].dataType).alias(c) if c == n_chars_col else F.col(c) for c in docs.columns]
     if removed_col:
-        cols.append(F.when(F.col("__bad").isNull(), 0).otherwise(F.size(parts) - F.size(kept)).cast("long").alias(removed_col))
+        cols.append(F.when(cut.isNull(), 0).otherwise(F.size(parts) - F.size(kept)).cast("long").alias(removed_col))
     return joined.select(cols)

@@ -85,5 +85,24 @@ def queries():
     return {f.__name__: f for f in own}
 
 
+def _quality_sql() -> str:
+    stop = ", ".join(f"'{w}'" for w in sorted(set(quality.STOP_WORDS)))
+    blank = "[^\\x20\\x09-\\x0D]"
+    ratio = lambda a, b: f"CASE WHEN {b} = 0 THEN 0.0 ELSE {a}::DOUBLE / {b} END"
+    verdict = " AND ".join(f"{r.metric} >= {r.least}" for r in quality.RULES if r.least is not None) + " AND " + " AND ".join(f"{r.metric} <= {r.most}" for r in quality.RULES if r.most is not None)
+    return (f"WITH d AS MATERIALIZED (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{blank}+') AS ws FROM documents), "
+            "w AS (SELECT doc_id, unnest(range(len(ws))) AS i, unnest(ws) AS w FROM d), "
+            "t AS (SELECT doc_id, i, w, lead(w) OVER o AS w2, lead(w, 2) OVER o AS w3 FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY i)), "
+            "r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w, w2, w3) AS c FROM t WHERE w3 IS NOT NULL) WHERE c > 1), "
+            "rep AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS j FROM r) GROUP BY 1), "
+            f"l AS (SELECT doc_id, count(*) AS n, count(*) - count(DISTINCT x) AS dup FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x FROM d) WHERE regexp_matches(x, '{blank}') GROUP BY 1), "
+            f"s AS (SELECT doc_id, sum(length(w))::BIGINT AS word_chars, count(*) FILTER (lower(w) IN ({stop})) AS n_stop FROM w GROUP BY 1), "
+            "m AS (SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(word_chars, 0) AS word_chars, length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(l.dup, 0) AS n_dup_lines, "
+            "coalesce(rep.n, 0) AS n_repeat_words, coalesce(n_stop, 0) AS n_stop, coalesce(l.n, 0) AS lines FROM d LEFT JOIN s USING (doc_id) LEFT JOIN l USING (doc_id) LEFT JOIN rep USING (doc_id)), "
+            f"q AS (SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_stop, {ratio('word_chars', 'n_words')} AS mean_word_chars, {ratio('n_symbols', 'n_words')} AS symbol_ratio, "
+            f"{ratio('n_stop', 'n_words')} AS stop_ratio, {ratio('n_dup_lines', 'lines')} AS dup_line_ratio, {ratio('n_repeat_words', 'n_words')} AS repeat_ratio, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m) "
+            f"SELECT *, NOT base_failed AND {verdict} AS kept FROM q")
+
+
 def oracle_sql():
-    return {}
+    return {"op10_quality": _quality_sql()}

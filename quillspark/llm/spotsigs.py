@@ -59,7 +59,7 @@ def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     if not n:
         return lone
     span = max(1, ceil((high - low + 1) * STRETCH / n), ceil((high - low + 1) / MAX_BUCKETS))
-    stretch = F.floor((F.col("doc_id") - F.lit(low)) / F.lit(span)).cast("long")
+    stretch = F.floor((F.col("doc_id").cast("double") - F.lit(float(low))) / F.lit(float(span))).cast("long")  # in doubles, as ids may span 64 bits; the order stays
     heads = sorted((r.b, r.h) for r in d.filter(F.col("doc_id").isNotNull()).groupBy(stretch.alias("b")).agg(F.min("doc_id").alias("h")).collect())
     before = [(h, heads[k - 1][0]) for k, (_, h) in enumerate(heads)]
     to = F.broadcast(d.sparkSession.createDataFrame(before, "head long, to long"))  # at most MAX_BUCKETS rows

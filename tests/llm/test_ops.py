@@ -178,6 +178,9 @@ def test_line_spread(spark, empty):
     got = {r.doc_id: (r.text, r.cut) for r in line_dedup.remove(d, removed_col="cut").collect()}
     assert got[0] == ("own text of document number 0\n", 1) and got[9] == (None, 0) and got[10] == ("", 0) and got[11][1] == 0
     assert line_dedup.remove(empty).count() == 0
+    clash = d.selectExpr("*", "1 AS bad0", "2 AS id0", "3 AS __bad", "4 AS key", "5 AS node", "6 AS site")
+    again = {r.doc_id: r for r in line_dedup.remove(clash, removed_col="cut").collect()}
+    assert {i: (r.text, r.cut) for i, r in again.items()} == got and (again[0].bad0, again[0].id0, again[0].key) == (1, 2, 4)
 
 
 def test_secrets(spark, docs, empty):
@@ -210,8 +213,11 @@ def test_spotsigs(docs, empty):
         assert rows[i].edited_sha256 == hashlib.sha256((t[: len(t) - k] + nxt[:k]).encode()).hexdigest()
     assert rows[3].fingerprint == rows[4].fingerprint and rows[3].near_next == 1 and rows[0].near_next == 1
     assert spotsigs.compare_edited(empty).count() == 0
+    far = docs.sparkSession.createDataFrame([(-(2**63), "one the word here"), (2**63 - 1, "two the word there"), (0, "x")], "doc_id long, text string")
+    edited = {r.doc_id: r.edited_sha256 for r in spotsigs.compare_edited(far).collect()}
+    assert edited[0] == hashlib.sha256(b"x").hexdigest() and edited[2**63 - 1] == hashlib.sha256(b"two the wone the w").hexdigest()
     members, pairs = spotsigs.near_duplicates(docs, 0.8)
-    assert members.count() == len(TEXTS) + 1 and {(r.a, r.b) for r in pairs.collect()} <= {(3, 5)}
+    assert members.count() == len(TEXTS) + 1 and {(r.a, r.b) for r in pairs.collect()} == {(3, 5)}
 
 
 def test_bloom_lm(docs, empty):
