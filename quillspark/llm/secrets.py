@@ -44,7 +44,8 @@ def candidates(text: Column) -> Column:
         return let(first, lambda f: F.array_distinct(F.concat(f, F.filter(bare, lambda v: ~F.exists(f, lambda x: F.contains(x, v))))))
 
     def some(ws: Column) -> Column:
-        lead = lambda i: (prev(ws, i, 1).rlike(_LEAD)) | (prev(ws, i, 1).isin("=", ":") & F.concat(prev(ws, i, 2), F.lit("=")).rlike(_LEAD))
+        ends = lambda w: w.endswith("=") | w.endswith(":")  # noqa: E731  # cheap, and true of few words
+        lead = lambda i: ends(prev(ws, i, 1)) & (prev(ws, i, 1).rlike(_LEAD) | (prev(ws, i, 1).isin("=", ":") & F.concat(prev(ws, i, 2), F.lit("=")).rlike(_LEAD)))
         worth = lambda w: (F.length(w) >= 12) & w.rlike("[0-9=:@]|[a-z][A-Z]")
         found = F.transform(ws, lambda w, i: let(lead(i), lambda led: F.when(worth(w) | (led & (F.length(w) >= 6)), F.transform(of(w, led), lambda v: F.struct(
             v.alias("value"), F.concat_ws(" ", prev(ws, i, 2), prev(ws, i, 1), F.regexp_extract(w, "([A-Za-z0-9_-]{2,40})[\"']?[=:]", 1)).alias("before"), w.alias("word"))))))
