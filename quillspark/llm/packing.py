@@ -1,4 +1,4 @@
-"""Best-fit packing of token sequences: local best fit, nearly full bins leave, underfull bins merge up a tree as items."""
+"""Best-fit packing of token sequences: local best fit, bins that nothing can join leave, underfull bins merge up a tree as items."""
 
 from __future__ import annotations
 
@@ -14,8 +14,7 @@ from .common import saved
 from .unit_cache import encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-KEEP = 4  # bins of each fill over a half that a task passes on
-STATE = PIECES + ", bin long, offset long, fill long, done boolean"
+STATE = PIECES + ", bin long, offset long, fill long, rank long"
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -64,8 +63,8 @@ def best_fit(sizes: np.ndarray, capacity: int) -> np.ndarray:
     return out
 
 
-def _merge(pdf: pd.DataFrame, base: int, capacity: int, slack: int, keep: int) -> pd.DataFrame:
-    """One task's round: its bins are the items; pieces move with their bin."""
+def _merge(pdf: pd.DataFrame, base: int, capacity: int) -> pd.DataFrame:
+    """One task's round: its bins are the items; pieces move with their bin. rank numbers the task's bins of equal fill."""
     pdf = pdf.sort_values(["bin", "offset"], kind="stable", ignore_index=True)
     first = np.flatnonzero(np.r_[True, np.diff(pdf["bin"].to_numpy()) != 0])
     fill = pdf["fill"].to_numpy()[first]
@@ -80,49 +79,55 @@ def _merge(pdf: pd.DataFrame, base: int, capacity: int, slack: int, keep: int) -
     pdf["offset"] = pdf["offset"].to_numpy() + start[item]
     pdf["bin"] = base + to[item]
     pdf["fill"] = total[to[item]]
-    gone = total >= capacity - slack
-    if keep:
-        by = np.argsort(total, kind="stable")
-        first = np.r_[True, np.diff(total[by]) != 0]
-        rank = np.arange(len(by)) - np.flatnonzero(first)[np.cumsum(first) - 1]
-        gone[by[rank >= keep]] |= total[by[rank >= keep]] > capacity // 2
-    pdf["done"] = gone[to[item]]
+    by = np.argsort(total, kind="stable")
+    starts = np.flatnonzero(np.r_[True, np.diff(total[by]) != 0])
+    rank = np.empty(len(by), np.int64)
+    rank[by] = np.arange(len(by)) - np.repeat(starts, np.diff(np.r_[starts, len(by)]))
+    pdf["rank"] = rank[to[item]]
     return pdf
 
 
-def _round(base: int, capacity: int, slack: int, keep: int):
+def _round(base: int, capacity: int):
     def run(key, pdf):
-        return _merge(pdf.drop(columns="task"), base | int(key[0]) << 32, capacity, slack, keep)
+        return _merge(pdf.drop(columns="task"), base | int(key[0]) << 32, capacity)
 
     return run
 
 
-def pack(items: DataFrame, capacity: int = 2048, slack: int = 2, per_task: int = 50_000) -> DataFrame:
+def wanted(bins: dict[int, int], capacity: int) -> list[int]:
+    """For each fill from 1 to ``capacity``, how many bins of that fill merges could use, given the number of open bins by fill.
+
+    Of the bins in one merge at most one is more than half full, so a fuller fill needs no more bins than there are bins of at most
+    a half that fit in beside it; bins of equal fill are alike. Bins of at most a half are all wanted.
+    """
+    half = capacity // 2
+    upto = np.cumsum([bins.get(f, 0) for f in range(half + 1)])
+    return [bins.get(f, 0) if f <= half else int(upto[capacity - f]) for f in range(1, capacity + 1)]
+
+
+def pack(items: DataFrame, capacity: int = 2048, per_task: int = 50_000) -> DataFrame:
     """items: PIECES, lengths 1 to capacity. Adds sequence_id and offset.
 
-    Every round spreads the open bins over tasks of about ``per_task`` bins by a hash of their number, packs each task's
-    bins by best fit and lets bins go that are within ``slack`` of full. Best fit leaves a task with hardly a bin that is at most half
-    full, and a fuller bin can only take one of those. So each task keeps KEEP bins of each fill over a half, more than the small
-    bins of all tasks need, and lets the others go, as well as bins that not even the least filled one fits into. What a task passes
-    on is thereby at most KEEP * capacity / 2 bins and the small ones, the next round has a fraction of the tasks, and the last one
-    merges all that is left. No piece is left out. An empty table gives an empty one.
+    Every round spreads the open bins over tasks of about ``per_task`` bins by a hash of their number and packs each task's bins by best
+    fit. Then bins leave that no merge can use: those fuller than a half, beyond as many of their fill as there are bins, in all tasks,
+    that fit in beside one (``wanted``). So no merge of two open bins is ruled out, and as best fit leaves a task with at most one bin
+    that is at most half full, few stay. The next round has at most half the tasks, and the last one merges all that is left. No piece
+    is left out. An empty table gives an empty one.
     """
-    spark = items.sparkSession
-    rest = saved(items).select("*", F.monotonically_increasing_id().alias("bin"), F.lit(0).cast("long").alias("offset"), F.col("length").alias("fill"), F.lit(False).alias("done"))
+    rest = saved(items).select("*", F.monotonically_increasing_id().alias("bin"), F.lit(0).cast("long").alias("offset"), F.col("length").alias("fill"), F.lit(0).cast("long").alias("rank"))
     bins = rest.count()
     tasks = max(1, -(-bins // per_task))
     finished, level = [], 1
     while True:
         at = F.pmod(F.xxhash64("bin", F.lit(level)), F.lit(tasks)).cast("int")
-        out = saved(rest.withColumn("task", at).repartition(max(1, min(tasks, 4096)), "task").groupBy("task").applyInPandas(_round(level << 56, capacity, slack, KEEP if tasks > 1 else 0), STATE))
-        open_ = out.filter(~F.col("done"))
-        least = open_.agg(F.min("fill")).first()[0]
-        if tasks == 1 or least is None:
+        out = saved(rest.withColumn("task", at).repartition(max(1, min(tasks, 4096)), "task").groupBy("task").applyInPandas(_round(level << 56, capacity), STATE))
+        if tasks == 1:
             finished.append(out)
             break
-        full = F.col("done") | (F.col("fill") + least > capacity)
-        finished.append(out.filter(full))
-        rest = out.filter(~full)
+        bins = {r["fill"]: r["count"] for r in out.filter("offset = 0").groupBy("fill").count().collect()}  # at most ``capacity`` rows
+        stays = F.col("rank") < F.expr(f"get(array({', '.join(f'{n}L' for n in wanted(bins, capacity))}), int(fill) - 1)")
+        finished.append(out.filter(~stays))
+        rest = out.filter(stays)
         left, pieces_left = rest.agg(F.count(F.when(F.col("offset") == 0, 1)), F.count("*")).first()
         if not left:
             break

@@ -209,11 +209,11 @@ def keep_one(docs: DataFrame, tau: int = 6, least: float = 0.8, id_col: str = "d
     """One row of each group of near copies, the one of least id, with the columns of the input.
 
     Texts are near copies if the Jaccard index of their sets of ``shingle``-word runs is ``least`` or more, and by what such pairs link.
-    Pairs come from the pigeonhole search: texts of equal fingerprints and of fingerprints within ``tau`` bits. At an index of 0.8
-    fingerprints may differ in 13 bits and more, where a search of 64 bits would meet a large share of all pairs; the bands of minima of
-    ``near_texts`` complete the candidates there. Every pair is verified on all shingles, so no other text goes. Equal texts are one
-    node: groups of copies form no pairs. Texts without words are near to equal ones only. Rows of a group that all lack an id leave
-    one; of repeated rows one stays.
+    Pairs come from the pigeonhole search, in which one text stands for those of its fingerprint: it with each of them, and with those
+    that stand for fingerprints within ``tau`` bits. The rest, further apart or of others than these, comes from the prefixes of
+    ``near_texts``, which meet for every pair of that index. Every pair is verified on all shingles, so no other text goes and no link
+    is lost. Equal texts are one node: groups of copies form no pairs. Texts without words are near to equal ones only. Rows of a
+    group that all lack an id leave one; of repeated rows one stays.
     """
     from . import near_texts
 
@@ -225,7 +225,7 @@ def keep_one(docs: DataFrame, tau: int = 6, least: float = 0.8, id_col: str = "d
     within = marked.join(by_fp, "fp").filter("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b")).distinct()
     across = links(by_fp.select("fp"), tau)
     across = across.join(by_fp.select(F.col("fp").alias("a"), F.col("rep").alias("x")), "a").join(by_fp.select(F.col("fp").alias("b"), F.col("rep").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    near = saved(near_texts.verified(texts, within.unionByName(across), least))
+    near = near_texts.verified(texts, within.unionByName(across), least)
     roots = components(near.select(F.col("a").alias("u"), F.col("b").alias("v")))
     placed = marked.groupBy("id", "node").agg(F.count("*").alias("n")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     best = placed.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node", "n")).alias("m"))

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.llm import bloom_lm, chunk_codec, line_dedup, packing, quality, secrets, simhash, spotsigs, token_store, toxicity
+from quillspark.llm import bloom_lm, chunk_codec, line_dedup, near_texts, packing, quality, secrets, simhash, spotsigs, token_store, toxicity
 
 P = pytest.importorskip("public_tokenizers")
 LONG = "the cat sat on a mat and looked at the dog again. " * 60
@@ -138,6 +138,15 @@ def test_packing_tree(spark):
         assert len(bins) <= 1.02 * len(set(packing.best_fit(sizes, 100).tolist()))
 
 
+def test_packing_uneven_tasks(spark):
+    tasks = [r[0] for r in spark.range(2000).select(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(20)).cast("int")).collect()]
+    first = {tasks.index(k) for k in range(1, 20)}
+    sizes = [60 if k == 0 else 40 if i in first else 100 for i, k in enumerate(tasks)]  # one task has all bins that the others' 19 small ones fit
+    items = spark.createDataFrame([(i, 0, 0, n, 0) for i, n in enumerate(sizes)], packing.PIECES).coalesce(1)
+    rows = packing.pack(items, capacity=100, per_task=100).collect()
+    assert sorted(r.doc_id for r in rows) == list(range(2000)) and len({r.sequence_id for r in rows}) == 2000 - 19
+
+
 def test_simhash(docs, empty):
     rows = simhash.near_duplicates(docs, tau=4).collect()
     fp = {r.doc_id: r.fp & (2**64 - 1) for r in rows}
@@ -171,6 +180,22 @@ def test_simhash_keep_one(docs, empty):
     assert simhash.keep_one(same).count() == 1
 
 
+def test_near_texts_loses_no_pair(spark):
+    rng = np.random.default_rng(4)
+    texts = []
+    for g in range(40):  # of each 20 texts all pairs are about as near as the bound, or a little less
+        base = [f"w{g}x{i}" for i in range(int(rng.integers(30, 90)))]
+        for _ in range(20):
+            ws, at = list(base), int(rng.integers(0, len(base)))
+            ws[at : at + int(rng.integers(0, 2))] = [f"new{rng.integers(10**9)}" for _ in range(int(rng.integers(1, 7)))]
+            texts.append(" ".join(["the same opening words are in all of these", *ws]))
+    d = spark.createDataFrame(list(enumerate(texts)), "node long, text string")
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    for least in (0.8, 0.5):
+        near = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j])}
+        assert {(r.a, r.b) for r in near_texts.verified(d, least=least).collect()} == near and len(near) > 400
+
+
 def test_line_spread(spark, empty):
     line = "this line of boilerplate is on every site of them"
     rows = [(i, f"own text of document number {i}\n{line}\n", f"s{i}") for i in range(5)] + [(9, None, "s1"), (10, "", None), (11, "own text of document number 0\nshort", "s0")]
