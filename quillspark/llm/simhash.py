@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import remove, saved
 
 SHINGLE = 4
 _MASK = 2**64 - 1
@@ -179,7 +179,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(low, "u")
-        e = saved(joined.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).filter("u <> v").distinct())
+        old, e = e, saved(joined.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).filter("u <> v").distinct())
+        remove(old)
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == was:
             break
@@ -230,6 +231,8 @@ def keep_one(docs: DataFrame, tau: int = 6, least: float = 0.8, id_col: str = "d
     placed = marked.groupBy("id", "node").agg(F.count("*").alias("n")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     best = placed.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node", "n")).alias("m"))
     kept = saved(best.select(F.col("m.id").alias("_id"), F.col("m.node").alias("_node"), F.col("m.n").alias("_n")))
+    for table in (marked, by_fp, near):
+        remove(table)
     pick = lambda rows: docs.join(rows, idc.eqNullSafe(F.col("_id")) & (node == F.col("_node")), "left_semi")
     twice = kept.filter("_n > 1")
     return pick(kept.filter("_n = 1")).unionByName(pick(twice).dropDuplicates([id_col, text_col]))

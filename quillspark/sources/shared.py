@@ -19,11 +19,22 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def saved(df: DataFrame) -> DataFrame:
-    """``df`` written as a table in the shared folder and read again: a cut of the lineage that survives lost executors."""
-    path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """``df`` written as a table in the shared folder and read again: a cut of the lineage that survives lost executors.
+
+    Its shuffle files go once it is written, not when the driver happens to collect its garbage.
+    """
+    spark = df.sparkSession
+    path, was = shared_dir(spark), spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, was)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def remove(df_or_path, spark: SparkSession | None = None) -> None:

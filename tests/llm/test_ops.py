@@ -180,6 +180,19 @@ def test_simhash_keep_one(docs, empty):
     assert simhash.keep_one(same).count() == 1
 
 
+def test_keep_one_frees_disk(spark, docs):
+    from quillspark.sources.shared import saved, shared_dir
+
+    files = lambda: spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().size()
+    folder = os.path.dirname(shared_dir(spark)).removeprefix("file:")
+    before = files()
+    saved(docs.groupBy("text").count())
+    assert files() <= before
+    tables = set(os.listdir(folder))
+    assert simhash.keep_one(docs).count() == len({t or "" for t in TEXTS}) - 1  # LONG and what has a word more are near
+    assert len(set(os.listdir(folder)) - tables) <= 2  # the rows kept and the last round of components
+
+
 def test_near_texts_loses_no_pair(spark):
     rng = np.random.default_rng(4)
     texts = []
