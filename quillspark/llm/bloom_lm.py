@@ -31,6 +31,7 @@ from .common import saved, shared_dir
 BITS, PROBES, LEVELS = 8, 3, 32
 SEGMENT_BYTES = 1 << 22  # training text of a segment
 HEAVY = 1 << 17
+PACKED = 1 << 21  # tokens counted at once
 THETA = 4.0  # weight of the words' own distribution against the pairs
 _U = np.uint64
 END = xxhash.xxh64_intdigest(b"\n", 42)  # no word holds a line feed
@@ -61,7 +62,8 @@ def _positions(h: np.ndarray, level: int, mask: int) -> list[np.ndarray]:
 
 
 def _segment(h: np.ndarray, segments: int) -> np.ndarray:
-    return ((h >> _U(40)) % _U(segments)).astype(np.int64)
+    """Segments are ranges of hashes, so that hashes in order are in order of their segments too."""
+    return ((h >> _U(32)) * _U(segments) >> _U(32)).astype(np.int64)
 
 
 class Filter:
@@ -126,19 +128,24 @@ def _count_batches(batches, segments: int):
     held: dict[int, list] = {0: [], 1: []}
     size = docs = tokens = 0
 
+    least = np.array([-(-(s << 32) // segments) << 32 for s in range(segments)], _U)  # hash of each segment
+
     def pack():
         for kind, parts in held.items():
             if not parts:
                 continue
-            h, c = np.unique(np.concatenate(parts), return_counts=True)
-            seg = _segment(h, segments)
-            order = np.argsort(seg, kind="stable")
-            h, c = h[order], c[order].astype(np.uint32)
-            ends = np.searchsorted(seg[order], np.arange(segments + 1))
-            rows = [(s, kind, h[a:b].tobytes(), c[a:b].tobytes()) for s, (a, b) in enumerate(zip(ends, ends[1:])) if b > a]
+            x = np.concatenate(parts)
             parts.clear()
-            for i in range(0, len(rows), 64):
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows[i : i + 64]), (pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["segment", "kind", "h", "c"])
+            x.sort()
+            at = np.flatnonzero(np.r_[True, x[1:] != x[:-1]])
+            c = np.diff(np.r_[at, len(x)]).astype(np.uint32)
+            h = x[at]
+            del x, at
+            ends = np.r_[np.searchsorted(h, least), len(h)].tolist()
+            for i in range(0, segments, 16):
+                rows = [(s, kind, h[ends[s] : ends[s + 1]].tobytes(), c[ends[s] : ends[s + 1]].tobytes()) for s in range(i, min(i + 16, segments)) if ends[s] < ends[s + 1]]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["segment", "kind", "h", "c"])
 
     for b in batches:
         for at in range(0, b.num_rows, 500):
@@ -150,7 +157,7 @@ def _count_batches(batches, segments: int):
             held[0].append(x)
             held[1].append(pair_hashes(x, first))
             size += len(x)
-            if size > 4_000_000:
+            if size > PACKED:
                 yield from pack()
                 size = 0
     yield from pack()

@@ -293,6 +293,24 @@ def test_bloom_lm_probabilities(spark):
     assert all(sum(p(b, a) for b in [*words, ""]) <= 1 for a in [*words, ""])
 
 
+def test_bloom_counting_memory(monkeypatch):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(6)
+    monkeypatch.setattr(bloom_lm, "token_hashes", lambda t: rng.integers(0, 2**64, 1000, np.uint64))
+    n = 0
+    tracemalloc.start()
+    for b in bloom_lm._count_batches([pa.record_batch({"text": ["x"] * 500})] * 12, 100):
+        for segment, _, h, c in zip(*(x.to_pylist() for x in b.columns)):
+            assert (bloom_lm._segment(np.frombuffer(h, np.uint64), 100) == segment).all()
+            n += int(np.frombuffer(c, np.uint32).sum())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 2 * 12 * 500 * 1000 and peak < 160e6, peak
+
+
 def test_toxicity(spark):
     rows = [(i, f"calm words number {i} here. you are a stupid idiot now. more" if i % 3 == 0 else f"calm words number {i} here. you are a good friend now.", int(i % 3 == 0)) for i in range(90)]
     d = spark.createDataFrame([(a, b) for a, b, _ in rows] + [(900, None), (901, "")], "doc_id long, text string")
