@@ -5,27 +5,58 @@ from __future__ import annotations
 import re
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-TOKEN = (
-    "(?:https?|ftp)://[^\\p{IsWhite_Space}<>\"')\\]}]*"
-    "|\\p{IsAlphabetic}(?:['’]\\p{IsAlphabetic}|[\\p{IsAlphabetic}\\p{N}])*"
-    "|[0-9](?:[.,]?[0-9])*"
+TOKEN = (  # possessive: a token never gives back what it took
+    "(?:https?|ftp)://[^\\p{IsWhite_Space}<>\"')\\]}]*+"
+    "|\\p{IsAlphabetic}[\\p{IsAlphabetic}\\p{N}]*+(?:['’]\\p{IsAlphabetic}[\\p{IsAlphabetic}\\p{N}]*+)*+"
+    "|[0-9]++(?:[.,][0-9]++)*+"
 )
 _URL = "^(?:https?|ftp)://"
+_MARK = "://"  # only URLs have it
+
+
+def found(text: Column) -> Column:
+    """The matches of TOKEN in order: ``tokens`` with the marks that end a URL still on it."""
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0))
 
 
 def tokens(text: Column) -> Column:
     """Words, numbers and URLs of a text in order; a token's position is its index."""
-    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0))
-    return F.transform(found, lambda t: F.when(t.rlike(_URL), F.regexp_replace(t, "[.,?!]+$", "")).otherwise(t))
+    return F.transform(found(text), lambda t: F.when(F.contains(t, F.lit(_MARK)), F.regexp_replace(t, "[.,?!]+$", "")).otherwise(t))
 
 
 def terms(text: Column) -> Column:
     """Tokens in lower case, URLs as they are; stems are a later step over distinct terms."""
-    return F.transform(tokens(text), lambda t: F.when(t.rlike(_URL), t).otherwise(F.lower(t)))
+    return F.transform(found(text), lambda t: F.when(F.contains(t, F.lit(_MARK)), F.regexp_replace(t, "[.,?!]+$", "")).otherwise(F.lower(t)))
+
+
+def n_tokens(text: Column) -> Column:
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(TOKEN))
+
+
+_KNOWN: dict[str, str] = {}
+KNOWN_TOKENS = 1 << 19  # stems that a worker keeps
+
+
+def terms_of(tokens: list[str], stemmed: bool = True) -> list[str]:
+    """The terms of distinct matches of ``found``, as ``terms`` and the stems have them."""
+    if not stemmed:
+        return [t.rstrip(".,?!") if _MARK in t else t.lower() for t in tokens]
+    if len(_KNOWN) > KNOWN_TOKENS:
+        _KNOWN.clear()
+    out, known, new = [], _KNOWN.get, stem.__wrapped__
+    for t in tokens:
+        term = known(t)
+        if term is None:
+            term = _KNOWN[t] = t.rstrip(".,?!") if _MARK in t else new(t.lower())
+        out.append(term)
+    return out
 
 
 _C, _V = "[^aeiou][^aeiouy]*", "[aeiouy][aeiou]*"
@@ -40,9 +71,24 @@ _STEP3 = "icate:ic ative: alize:al iciti:ic ical:ic ful: ness:"
 _STEP4 = "al ance ence er ic able ible ant ement ment ent ou ism ate iti ous ive ize"
 
 
+def _by_end(rules) -> dict[str, list[tuple[str, str]]]:
+    """The rules by the last two letters of their suffixes, in order."""
+    out: dict[str, list[tuple[str, str]]] = {}
+    for suffix, new in rules:
+        out.setdefault(suffix[-2:], []).append((suffix, new))
+    return out
+
+
+_TWO, _THREE = (_by_end(tuple(r.split(":")) for r in x.split()) for x in (_STEP2, _STEP3))
+_FOUR = _by_end((s, "") for s in _STEP4.split())
+
+
+_ENDS = ("s", "ed", "ing", "y", "ion", "e", "ll", *(r.split(":")[0] for r in f"{_STEP2} {_STEP3} {_STEP4}".split()))
+
+
 def _first(word: str, rules, ok) -> str:
     """The first rule whose suffix is there and whose stem passes; a rule that fails lets later ones try."""
-    for suffix, new in rules:
+    for suffix, new in rules.get(word[-2:], ()):
         if word.endswith(suffix) and ok(word[: len(word) - len(suffix)]):
             return word[: len(word) - len(suffix)] + new
     return word
@@ -58,9 +104,11 @@ def stem(word: str) -> str:
     w = word.lower()
     if len(w) <= 2:
         return w
-    if not all(c.isalpha() or c in "'’" for c in w):
+    if not w.isalpha() and not all(c.isalpha() or c in "'’" for c in w):
         return word
-    m0, m2 = (lambda s: bool(_M0.match(s))), (lambda s: bool(_M2.match(s)))
+    if not w.endswith(_ENDS):  # no step has anything to cut
+        return w
+    m0, m2 = _M0.match, _M2.match
     if w.endswith("sses") or w.endswith("ies"):
         w = w[:-2]
     elif w.endswith("s") and not w.endswith("ss"):
@@ -69,7 +117,9 @@ def stem(word: str) -> str:
         if m0(w[:-3]):
             w = w[:-1]
     else:
-        cut = next((w[: -len(s)] for s in ("ed", "ing") if w.endswith(s) and _HAS_VOWEL.match(w[: -len(s)])), None)
+        cut = w[:-2] if w.endswith("ed") else w[:-3] if w.endswith("ing") else None
+        if cut is not None and not _HAS_VOWEL.match(cut):
+            cut = None
         if cut is not None:
             w = cut
             if w.endswith(("at", "bl", "iz")):
@@ -80,12 +130,12 @@ def stem(word: str) -> str:
                 w += "e"
     if w.endswith("y") and _HAS_VOWEL.match(w[:-1]):
         w = w[:-1] + "i"
-    w = _first(w, [tuple(r.split(":")) for r in _STEP2.split()], m0)
-    w = _first(w, [tuple(r.split(":")) for r in _STEP3.split()], m0)
+    w = _first(w, _TWO, m0)
+    w = _first(w, _THREE, m0)
     if w.endswith("ion") and w[:-3].endswith(("s", "t")) and m2(w[:-3]):
         w = w[:-3]
     else:
-        w = _first(w, [(s, "") for s in _STEP4.split()], m2)
+        w = _first(w, _FOUR, m2)
     if w.endswith("e"):
         s = w[:-1]
         if m2(s) or _M1.match(s) and not _CVC.search(s):
@@ -252,12 +302,110 @@ def unpack(data: bytes) -> list[int]:
     return out
 
 
+def pack_lists(values: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``pack`` of each of the lists that stand one behind another in ``values``: all bytes, and how many each list has."""
+    at = np.cumsum(sizes) - sizes
+    gaps = np.diff(values.astype(np.int64), prepend=0)
+    some = sizes > 0
+    gaps[at[some]] = values[at[some]]
+    if len(gaps) and gaps.min() < 0:
+        raise ValueError("a list doesn't ascend")
+    width = np.ones(len(gaps), np.int64)
+    k = 7
+    while len(more := np.flatnonzero(gaps >> k)):
+        width[more] += 1
+        k += 7
+    ends = np.cumsum(width)
+    data = np.empty(ends[-1] if len(ends) else 0, np.uint8)
+    rows, k = np.arange(len(gaps)), 0
+    while len(rows):
+        data[ends[rows] - width[rows] + k] = gaps[rows] >> 7 * k & 127
+        k += 1
+        rows = rows[width[rows] > k]
+    data[ends - 1] |= 128
+    return data, np.diff(np.append(0, ends)[np.append(at, len(gaps))])
+
+
+def unpack_lists(data: np.ndarray, sizes: np.ndarray | None = None, lengths: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The lists back, one behind another, and how many values each has; given are these, or how many bytes each list has."""
+    last = data >= 128
+    ends = np.flatnonzero(last)
+    if len(data) and not last[-1]:
+        raise ValueError("the data end within a number")
+    starts = np.append(0, ends[:-1] + 1) if len(ends) else ends
+    width = ends - starts + 1
+    if len(width) and width.max() > 6:
+        raise ValueError("a number is too long")
+    gaps, rows, k = np.zeros(len(ends), np.int64), np.arange(len(ends)), 0
+    while len(rows):
+        gaps[rows] |= (data[starts[rows] + k] & 127).astype(np.int64) << 7 * k
+        k += 1
+        rows = rows[width[rows] > k]
+    if sizes is None:
+        to = np.cumsum(lengths)
+        if len(to) and not last[to[lengths > 0] - 1].all():
+            raise ValueError("the data end within a number")
+        sizes = np.diff(np.searchsorted(ends, to, "left"), prepend=0)
+    if sizes.sum() != len(gaps):
+        raise ValueError("there are more or fewer numbers than told")
+    total = np.append(0, np.cumsum(gaps))
+    return total[1:] - np.repeat(total[np.cumsum(sizes) - sizes], sizes), sizes
+
+
+def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The values of lists, and how many each has; none for null."""
+    return lists.flatten().to_numpy(zero_copy_only=False), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _bytes(blobs: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all blobs, and how many each has; none for null."""
+    blobs = blobs.cast(pa.binary()) if blobs.null_count == 0 else pa.array([x or b"" for x in blobs.to_pylist()], pa.binary())
+    _, offsets, data = blobs.buffers()
+    ends = np.frombuffer(offsets, np.int32)[blobs.offset : blobs.offset + len(blobs) + 1] if len(blobs) else np.zeros(1, np.int32)
+    return np.frombuffer(data or b"", np.uint8)[ends[0] : ends[-1]], np.diff(ends).astype(np.int64)
+
+
+def as_blobs(data: np.ndarray, sizes: np.ndarray, like: pa.Array | None = None) -> pa.Array:
+    """Stretches of bytes as binaries; null where ``like`` is."""
+    offsets = pa.array(np.append(0, np.cumsum(sizes)), pa.int32(), mask=np.append(like.is_null().to_numpy(zero_copy_only=False), False) if like is not None and like.null_count else None)
+    if offsets.null_count:
+        return pa.array([None if gone else data[b - n : b].tobytes() for gone, n, b in zip(like.is_null().to_pylist(), sizes.tolist(), np.cumsum(sizes).tolist())], pa.binary())
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, offsets.buffers()[1], pa.py_buffer(data)])
+
+
+def as_lists(values: pa.Array, sizes: np.ndarray, like: pa.Array | None = None) -> pa.Array:
+    """Stretches of values as lists; null where ``like`` is."""
+    gone = np.append(like.is_null().to_numpy(zero_copy_only=False), False) if like is not None and like.null_count else None
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32(), mask=gone), values)
+
+
+def _pack_arrow(lists: pa.Array) -> pa.Array:
+    return as_blobs(*pack_lists(*_flat(lists)), lists)
+
+
+def _unpack_arrow(blobs: pa.Array) -> pa.Array:
+    data, lengths = _bytes(blobs)
+    values, sizes = unpack_lists(data, lengths=lengths)
+    return as_lists(pa.array(values, pa.int32()), sizes, blobs)
+
+
+def _positions_arrow(tf: pa.Array, blobs: pa.Array) -> pa.Array:
+    counts, n = _flat(tf)
+    values, _ = unpack_lists(_bytes(blobs)[0], counts.astype(np.int64))
+    return as_lists(as_lists(pa.array(values, pa.int32()), counts), n, tf)
+
+
 def pack_udf(values) -> Column:
-    return F.pandas_udf(lambda s: s.map(lambda v: pack([int(x) for x in v]), na_action="ignore"), "binary")(values)
+    return F.arrow_udf(_pack_arrow, "binary")(values)
 
 
 def unpack_udf(data) -> Column:
-    return F.pandas_udf(lambda s: s.map(lambda v: unpack(bytes(v)), na_action="ignore"), "array<int>")(data)
+    return F.arrow_udf(_unpack_arrow, "array<int>")(data)
+
+
+def positions_udf(tf, data) -> Column:
+    """The positions by document of a block, from how many each has and from their packed lists one behind another."""
+    return F.arrow_udf(_positions_arrow, "array<array<int>>")(tf, data)
 
 
 def packed_size(values: Column) -> Column:

@@ -161,7 +161,7 @@ def run(tree: Node | str, index) -> DataFrame:
         wanted = None
         for c in flags.values():
             wanted = c if wanted is None else wanted | c
-        hit = index.postings.select("term", "doc_id").filter(wanted).groupBy("doc_id").agg(*[F.bool_or(c).alias(n) for n, c in flags.items()])
+        hit = index.frequencies.select("term", "doc_id").filter(wanted).groupBy("doc_id").agg(*[F.bool_or(c).alias(n) for n, c in flags.items()])
         out = out.join(hit, "doc_id", "left")
     for name, words in phrases.items():
         out = out.join(phrase(index, words).withColumn(name, F.lit(True)), "doc_id", "left")

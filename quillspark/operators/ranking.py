@@ -31,19 +31,29 @@ def query_terms(queries: DataFrame, text: str = "text", stemmed: bool = True) ->
 WANTED_ROWS = 1 << 20  # wanted terms up to this number go to the workers, else they are joined
 
 
-def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= WANTED_ROWS else df
+LISTED = 10_000  # wanted terms up to this number are a filter, which the statistics of a stored index serve
+
+
+def _small(df: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """``df``, sent to the workers if it, or the wanted terms that it can't outnumber, are few."""
+    return F.broadcast(df) if (df if wanted is None else wanted).count() <= WANTED_ROWS else df
+
+
+def _of_terms(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of the wanted terms."""
+    asked = wanted.select("term").distinct()
+    few = [r.term for r in asked.limit(LISTED + 1).collect()]
+    return rows.filter(F.col("term").isin(few)) if len(few) <= LISTED else rows.join(_small(asked), "term", "left_semi")
 
 
 def bm25(index, wanted: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(query_id, doc_id, score) of an index for the weighted terms (query_id, term, w). Only the wanted terms' rows meet the lengths."""
     wanted = wanted.filter("w > 0").select("query_id", "term", "w")
-    asked = _small(wanted.select("term").distinct())
-    rows = index.postings.select("term", "doc_id", "tf").join(asked, "term", "left_semi")
+    rows = _of_terms(index.frequencies, wanted)
     dfs = rows.groupBy("term").agg(F.count("*").alias("df"))
     norm = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg")))
     part = rows.join(index.lengths, "doc_id").crossJoin(F.broadcast(index.stats)).select("term", "doc_id", "n", norm.alias("part"))  # stats is one row
-    weighted = _small(wanted.join(dfs, "term").crossJoin(F.broadcast(index.stats)).select("query_id", "term", (F.col("w") * idf(F.col("n"), F.col("df"))).alias("w")))
+    weighted = _small(wanted.join(dfs, "term").crossJoin(F.broadcast(index.stats)).select("query_id", "term", (F.col("w") * idf(F.col("n"), F.col("df"))).alias("w")), wanted)
     return part.join(weighted, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * F.col("part")).alias("score"))
 
 
@@ -58,10 +68,10 @@ def _soft(rows: DataFrame, index, params, keys: list[str]) -> DataFrame:
 def bm25f(index, wanted: DataFrame, k1: float = 1.2, params=FIELD_PARAMS) -> DataFrame:
     """The same over fields; ``params`` has weight and b by field. A term's documents are those that have it in any field."""
     wanted = wanted.filter("w > 0").select("query_id", "term", "w")
-    rows = index.field_postings.join(_small(wanted.select("term").distinct()), "term", "left_semi")
+    rows = _of_terms(index.field_postings, wanted)
     per = _soft(rows.join(index.field_lengths, ["field", "doc_id"]), index, params, ["term", "doc_id"])
     dfs = rows.groupBy("term").agg(F.countDistinct("doc_id").alias("df"))
-    weighted = _small(wanted.join(dfs, "term").crossJoin(F.broadcast(index.stats)).select("query_id", "term", (F.col("w") * idf(F.col("n"), F.col("df"))).alias("w")))
+    weighted = _small(wanted.join(dfs, "term").crossJoin(F.broadcast(index.stats)).select("query_id", "term", (F.col("w") * idf(F.col("n"), F.col("df"))).alias("w")), wanted)
     return per.filter("x > 0").join(weighted, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * F.col("x") * (k1 + 1) / (k1 + F.col("x"))).alias("score"))
 
 
@@ -119,11 +129,11 @@ def expand_bm25(index, queries: DataFrame, p: PrfParams = PrfParams(), k1: float
     """(query_id, term, w, new): each query's terms and what its best documents by BM25 add to it."""
     own = query_counts(queries, stemmed=index.stemmed)
     best = saved(_relevant(bm25(index, own.withColumn("w", F.lit(1.0)), k1, b), p))
-    seen = saved(_candidates(index.postings.select("term", "doc_id", "tf"), best, p))
-    dfs = index.postings.join(F.broadcast(seen.select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))  # terms of p.docs documents a query
+    seen = saved(_candidates(index.frequencies, best, p))
+    dfs = _of_terms(index.frequencies, seen).groupBy("term").agg(F.count("*").alias("df"))  # terms of p.docs documents a query
     norm = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg")))
     sized = seen.join(index.lengths, "doc_id").crossJoin(F.broadcast(index.stats)).select("query_id", "k", "term", "doc_id", norm.alias("part"))
-    return _expand(sized, dfs, index.stats.select("n"), own, p)
+    return saved(_expand(sized, dfs, index.stats.select("n"), own, p))  # it is read more than once
 
 
 def expand_bm25f(index, queries: DataFrame, p: PrfParams = PrfParams(), k1: float = 1.2, params=FIELD_PARAMS) -> DataFrame:
@@ -131,10 +141,10 @@ def expand_bm25f(index, queries: DataFrame, p: PrfParams = PrfParams(), k1: floa
     own = query_counts(queries, stemmed=index.stemmed)
     best = saved(_relevant(bm25f(index, own.withColumn("w", F.lit(1.0)), k1, params), p))
     seen = saved(_candidates(index.field_postings, best, p))
-    dfs = index.field_postings.join(F.broadcast(seen.select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.countDistinct("doc_id").alias("df"))
+    dfs = _of_terms(index.field_postings, seen).groupBy("term").agg(F.countDistinct("doc_id").alias("df"))
     soft = _soft(seen.join(index.field_lengths, ["field", "doc_id"]), index, params, ["query_id", "k", "term", "doc_id"])
     sized = soft.filter("x > 0").select("query_id", "k", "term", "doc_id", (F.col("x") * (k1 + 1) / (k1 + F.col("x"))).alias("part"))
-    return _expand(sized, dfs, index.stats.select("n"), own, p)
+    return saved(_expand(sized, dfs, index.stats.select("n"), own, p))  # it is read more than once
 
 
 def query_strings(queries: DataFrame, expanded: DataFrame) -> DataFrame:
