@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TOKEN = (  # possessive: a token never gives back what it took
@@ -233,23 +233,71 @@ def raw_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+def raw_tokens(text: str) -> list[str]:
+    """The tokens of ``raw_spans`` alone."""
+    return [t.rstrip(".,?!") if _MARK in t else t for t in _token_pattern().findall(text)]
+
+
 def spans(text: str) -> list[tuple[str, int, int]]:
     """(term, start, end) with stems, offsets in code points."""
     return [(t if re.match(_URL, t) else stem(t.lower()), a, b) for t, a, b in raw_spans(text)]
 
 
+SPANS = pa.struct([("token", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("position", pa.int32())])
+PIECE_CHARS = 1 << 20  # of texts whose tokens a worker holds at once; a longer text alone
+
+
+def pieces(texts: pa.Array):
+    """(first, number) of stretches of texts of about PIECE_CHARS."""
+    ends, at = np.cumsum(pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)), 0
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PIECE_CHARS, "right")))
+        yield at, to - at
+        at = to
+
+
+def _byte_spans(texts: pa.Array) -> tuple[pa.StructArray, np.ndarray]:
+    """The tokens of texts, one text behind another, with their byte offsets, and how many each text has."""
+    words, starts, ends, sizes = [], [], [], []
+    for t in texts.to_pylist():
+        found = raw_spans(t or "")
+        sizes.append(len(found))
+        if not found:
+            continue
+        words += [x[0] for x in found]
+        a, b = (np.array([x[k] for x in found], np.int64) for k in (1, 2))
+        if not t.isascii():
+            points = np.frombuffer(t.encode("utf-32-le"), np.uint32)
+            at = np.append(0, np.cumsum(1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF)))
+            a, b = at[a], at[b]
+        starts.append(a)
+        ends.append(b)
+    n = np.array(sizes, np.int64)
+    join = lambda x: pa.array(np.concatenate(x) if x else [], pa.int32())
+    position = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    return pa.StructArray.from_arrays([pa.array(words, pa.string()), join(starts), join(ends), pa.array(position, pa.int32())], fields=list(SPANS)), n
+
+
 def byte_spans(text) -> Column:
     """Array of (token, start, end, position) with UTF-8 byte offsets of each token."""
-    def one(t):
-        out, at, done = [], 0, 0
-        for k, (w, a, b) in enumerate(raw_spans(t)):
-            at += len(t[done:a].encode())
-            size = len(w.encode())
-            out.append({"token": w, "start": at, "end": at + size, "position": k})
-            at, done = at + size, b
-        return out
-
-    return F.pandas_udf(lambda s: s.map(one, na_action="ignore"), "array<struct<token:string,start:int,end:int,position:int>>")(text)
+    def run(texts: pa.Array) -> pa.Array:
+        parts = [_byte_spans(texts.slice(at, n)) for at, n in pieces(texts)]
+        return as_lists(pa.concat_arrays([x for x, _ in parts] or [pa.array([], SPANS)]), np.concatenate([n for _, n in parts] or [np.zeros(0, np.int64)]), texts)
+
+    return F.arrow_udf(run, "array<struct<token:string,start:int,end:int,position:int>>")(text)
+
+
+def byte_rows(docs: DataFrame) -> DataFrame:
+    """(doc_id, token, start, end, position): ``byte_spans`` of (doc_id, text) as rows, a few texts at once."""
+    def run(batches):
+        for b in batches:
+            for at, n in pieces(b.column(1)):
+                spans, sizes = _byte_spans(b.column(1).slice(at, n))
+                ids = b.column(0).slice(at, n).take(pa.array(np.repeat(np.arange(n), sizes)))
+                yield pa.RecordBatch.from_arrays([ids, *spans.flatten()], names=["doc_id", *SPANS.names])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, token string, start int, end int, position int")
 
 
 STOP_WORDS = frozenset("""

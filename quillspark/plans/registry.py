@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.snippet import opening_sql, snippet_udf
-from ..functions.text import byte_spans, packed_size, pack_udf, percent_decode_udf, stop_stems, ungap, unpack_udf
+from ..functions.text import byte_rows, packed_size, pack_udf, percent_decode_udf, stop_stems, ungap, unpack_udf
 from ..operators import boolean, crawl, evaluate, hybrid, index, ranking, robots, suggest, vectors
 from ..operators.crawling import CrawlConfig
 from ..operators.crawling import crawl as crawl_waves
@@ -181,7 +181,7 @@ def queries():
         "gap_decode": lambda s, d: built(s, d).postings.filter("term = 'licens'").select("doc_id", F.array_join(F.transform(ungap(F.transform("positions", lambda p, i: p - F.coalesce(F.get("positions", i - 1), F.lit(0)))), lambda x: x.cast("string")), ",").alias("positions")),
         "append_positions": lambda s, d: index.Index(built(s, d).postings.filter("term = 'the'"), built(s, d).lengths).append(_docs(s, d).select("doc_id", F.lit("then the end").alias("text"))).postings.filter("term = 'the'").select("doc_id", "tf", F.element_at("positions", -1).cast("long").alias("last")),
         "append_anchors": lambda s, d: built(s, d).append_anchors(_docs(s, d).select("doc_id", F.lit("inbound license").alias("text"))).field_postings.filter("field = 'anchor' AND term IN ('licens', 'inbound')").select("term", "doc_id", "tf"),
-        "token_offsets": lambda s, d: _docs(s, d).select("doc_id", F.inline(byte_spans("text"))).groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.col("end") - F.col("start")).alias("bytes"), F.max("end").cast("long").alias("last_end")),
+        "token_offsets": lambda s, d: byte_rows(_docs(s, d)).groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.col("end") - F.col("start")).alias("bytes"), F.max("end").cast("long").alias("last_end")),
         "analyze_stems": lambda s, d: built(s, d).vocabulary.select("term", "tf"),
         "stop_words": lambda s, d: s.createDataFrame([(w,) for w in stop_stems()], "term string"),
         "search_term": _bool("licenses"), "bool_and": _bool("the AND tions"), "bool_or": _bool("licenses OR reserved"), "bool_and_not": _bool("the AND NOT tions"),

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspark.functions import text
-from quillspark.operators import index
+from quillspark.operators import index, vectors
 from quillspark.sources.shared import saved
 
 ODD = [(0, "The quick fox's den\nthe Foxes see http://A.org/x?. the end", "web foxes"), (1, None, "a"), (2, "", None), (3, " \n\n", " "), (4, "\nno title 3.14 and 2,5.", ""),
@@ -48,3 +48,18 @@ def test_packed_lists_by_column():
     for bad in ([b"\x01"], [b"\x01", b"\x81"], [b"\x01\x01\x01\x01\x01\x01\x01\x81"]):
         with pytest.raises(ValueError):
             text._unpack_arrow(pa.array(bad, pa.binary()))
+
+
+def test_byte_rows(spark):
+    texts = ["They're é日本 at https://a.org/s?q=1. now 𝒳y", None, "", "plain 3.14 text"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = text.byte_rows(docs).collect()
+    assert all(texts[r.doc_id].encode()[r.start : r.end].decode() == r.token for r in rows)
+    again = docs.select("doc_id", F.inline(text.byte_spans("text")))
+    assert _rows(again) == sorted(map(str, text.byte_rows(docs).select(sorted(again.columns)).collect())) and {r.doc_id for r in rows} == {0, 3}
+
+
+def test_embedding_many_texts_is_embedding_each():
+    texts = ["rust memory systems, rust!", None, "", "a http://x.y/z", "日本語 O'Neil é ß supersonic wing", "x" * 50] * 3
+    for n in (8, 64):
+        assert vectors.embed_all(pa.array(texts), n).tolist() == [vectors.embed(t, n) for t in texts]
