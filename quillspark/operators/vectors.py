@@ -5,12 +5,11 @@ from __future__ import annotations
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import fnv1a, raw_spans
+from ..functions.text import as_lists, fnv1a, pieces, raw_spans, raw_tokens
 from .ranking import top
 
 TINY = 1e-12
@@ -152,6 +151,11 @@ def concept_axis(word: str) -> int | None:
     return _AXIS.get(word)
 
 
+@lru_cache(maxsize=50_000)
+def _hash(letters: str) -> int:
+    return fnv1a(letters.encode())
+
+
 @lru_cache(maxsize=100_000)
 def _word_parts(word: str, dimension: int) -> tuple[tuple[int, float], ...]:
     axes = min(_AXES, dimension // 2)
@@ -162,7 +166,7 @@ def _word_parts(word: str, dimension: int) -> tuple[tuple[int, float], ...]:
         out.append((axis, _CONCEPT * weight))
 
     def hashed(s: str, w: float) -> None:
-        h = fnv1a(s.encode())
+        h = _hash(s) if len(s) == 3 else fnv1a(s.encode())
         out.append((axes + h % room, w if h >> 32 & 1 == 0 else -w))
 
     hashed(word, _WORD * weight)
@@ -183,5 +187,38 @@ def embed(text: str | None, dimension: int = 64) -> list[float]:
     return (v / np.float32(size) if size > TINY else v).tolist()
 
 
+def embed_all(texts: pa.Array, dimension: int = 64) -> np.ndarray:
+    """``embed`` of each text as a row: a word's parts are looked up once, and all are added in the order of the text."""
+    room = max(32, dimension)
+    out = np.zeros((len(texts), room), np.float32)
+    for at, n in pieces(texts):
+        found = [raw_tokens(t or "") for t in texts.slice(at, n).to_pylist()]
+        words = pa.array([w for ws in found for w in ws], pa.string()).dictionary_encode()
+        parts = [_token_parts(t, room) for t in words.dictionary.to_pylist()]
+        sizes = np.array([len(p) for p in parts], np.int64)
+        axis = np.array([i for p in parts for i, _ in p], np.int64)
+        weight = np.array([x for p in parts for _, x in p], np.float32)
+        code = words.indices.to_numpy()
+        row = np.repeat(np.arange(at, at + n), [len(ws) for ws in found])
+        many = sizes[code]
+        part = np.arange(many.sum()) + np.repeat((np.cumsum(sizes) - sizes)[code] - (np.cumsum(many) - many), many)
+        np.add.at(out.reshape(-1), np.repeat(row, many) * room + axis[part], weight[part])
+    for v in out:
+        size = float(np.sqrt((v * v).sum()))
+        if size > TINY:
+            v /= np.float32(size)
+    return out
+
+
+def _token_parts(token: str, room: int) -> tuple[tuple[int, float], ...]:
+    """What ``embed`` adds for a token."""
+    word = token.lower()
+    return _word_parts(word, room) if len(word.encode()) >= 2 and not word.startswith("http") else ()
+
+
 def embed_udf(text, dimension: int = 64) -> Column:
-    return F.pandas_udf(lambda s: pd.Series([embed(t, dimension) for t in s], dtype=object), "array<float>")(text)
+    def run(texts: pa.Array) -> pa.Array:
+        rows = embed_all(texts, dimension)
+        return as_lists(pa.array(rows.reshape(-1), pa.float32()), np.full(*rows.shape))
+
+    return F.arrow_udf(run, "array<float>")(text)
