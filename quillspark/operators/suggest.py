@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -11,15 +14,50 @@ from ..functions.text import TOKEN, osa_udf, tokens
 COUNTS = "term string, tf long, df long"
 
 
-def usable(token: Column) -> Column:
-    """Not a URL, not all digits, two bytes at least."""
-    return ~token.startswith("http") & ~token.rlike("^[0-9]+$") & (F.octet_length(token) >= 2)
+PIECE_TOKENS = 1 << 18  # of texts whose phrases a worker makes at once; a longer text alone
 
 
-def _grams(words: Column, n: int) -> Column:
-    starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - (n - 1))).otherwise(F.array().cast("array<int>"))
-    good = F.filter(F.transform(starts, lambda i: F.slice(words, i, n)), lambda g: F.forall(g, usable))
-    return F.transform(good, lambda g: F.lower(F.array_join(g, " ")))
+def usable(token: str) -> bool:
+    """Not a URL, not all digits, two bytes at least."""
+    return not token.startswith("http") and not (token.isascii() and token.isdigit()) and len(token.encode()) >= 2
+
+
+def _counted_grams(most: int):
+    """Batches of one column, sentences of words by text, to (term, n): the words and phrases of some texts and how often they are there."""
+    def run(batches):
+        for b in batches:
+            at, ends = 0, _token_ends(b.column(0))
+            while at < b.num_rows:
+                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PIECE_TOKENS, "right")))
+                yield from _phrases(b.column(0).slice(at, to - at).flatten(), most)
+                at = to
+
+    return run
+
+
+def _token_ends(texts: pa.Array) -> np.ndarray:
+    """The number of words up to the end of each text."""
+    outer, words = texts.offsets.to_numpy(), np.append(0, np.cumsum(np.diff(texts.values.offsets.to_numpy())))
+    return words[outer[1:]] - words[outer[0]]
+
+
+def _phrases(sentences: pa.Array, most: int):
+    sizes, words = np.diff(sentences.offsets.to_numpy()), sentences.flatten().dictionary_encode()
+    given = words.dictionary.to_pylist()
+    good = np.array([usable(t) for t in given], bool)[words.indices.to_numpy()]
+    lower = pa.array([t.lower() for t in given], pa.string()).take(words.indices)
+    sentence = np.repeat(np.arange(len(sizes)), sizes)
+    for n in range(1, most + 1):
+        last = len(good) - n + 1
+        if last <= 0:
+            return
+        fits = sentence[n - 1 :] == sentence[:last]
+        for k in range(n):
+            fits &= good[k : k + last]
+        at = np.flatnonzero(fits)
+        parts = [lower.take(pa.array(at + k)) for k in range(n)]
+        found = (pc.binary_join_element_wise(*parts, " ") if n > 1 else parts[0]).value_counts()
+        yield pa.RecordBatch.from_arrays([found.field("values"), found.field("counts")], names=["term", "n"])
 
 
 def sentences(text: Column) -> Column:
@@ -33,9 +71,8 @@ def sentences(text: Column) -> Column:
 def grams(texts: DataFrame, most: int = 3, weight: int = 1, boundaries: bool = True) -> DataFrame:
     """(term, tf, df) of the words and of 2- to ``most``-word phrases of (text); phrases stay within a sentence unless told else."""
     parts = sentences(F.col("text")) if boundaries else F.array(tokens(F.coalesce(F.col("text"), F.lit(""))))
-    rows = texts.select(F.explode(parts).alias("w"))
-    found = F.concat(*[_grams(F.col("w"), n) for n in range(1, most + 1)])
-    return rows.select(F.explode(found).alias("term")).groupBy("term").agg((F.count("*") * weight).alias("tf"), F.count("*").alias("df"))
+    found = texts.select(parts.alias("w")).mapInArrow(_counted_grams(most), "term string, n long")
+    return found.groupBy("term").agg((F.sum("n") * weight).alias("tf"), F.sum("n").alias("df"))
 
 
 def merge(*counts: DataFrame) -> DataFrame:

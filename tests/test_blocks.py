@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspark.functions import text
-from quillspark.operators import index, vectors
+from quillspark.operators import index, suggest, vectors
 from quillspark.sources.shared import saved
 
 ODD = [(0, "The quick fox's den\nthe Foxes see http://A.org/x?. the end", "web foxes"), (1, None, "a"), (2, "", None), (3, " \n\n", " "), (4, "\nno title 3.14 and 2,5.", ""),
@@ -63,3 +63,23 @@ def test_embedding_many_texts_is_embedding_each():
     texts = ["rust memory systems, rust!", None, "", "a http://x.y/z", "日本語 O'Neil é ß supersonic wing", "x" * 50] * 3
     for n in (8, 64):
         assert vectors.embed_all(pa.array(texts), n).tolist() == [vectors.embed(t, n) for t in texts]
+
+
+def test_phrases_of_some_texts_are_those_of_all():
+    texts = [[["The", "license", "42", "file"], [], ["é", "a", "日本"]], [], [["http://x", "The", "license"]], [["The", "license"]]]
+    want = {}
+    for t in texts:
+        for ws in t:
+            for n in (1, 2, 3):
+                for i in range(len(ws) - n + 1):
+                    if all(map(suggest.usable, ws[i : i + n])):
+                        g = " ".join(ws[i : i + n]).lower()
+                        want[g] = want.get(g, 0) + 1
+    for at, n in ((0, 4), (1, 3), (3, 1)):
+        batch = pa.RecordBatch.from_arrays([pa.array([[]] * (4 - n) + texts[at:], pa.list_(pa.list_(pa.string()))).slice(4 - n)], names=["w"])
+        got = {}
+        for b in suggest._counted_grams(3)([batch]):
+            for term, k in zip(*(c.to_pylist() for c in b.columns)):
+                got[term] = got.get(term, 0) + k
+        assert (got == want) == (at == 0) and got["the license"] == {0: 3, 1: 2, 3: 1}[at]
+    assert suggest._token_ends(batch.column(0)).tolist() == [2]
